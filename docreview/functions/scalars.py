@@ -63,3 +63,28 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
 def ordered_text(parts: Column, sep: str) -> Column:
     """Join the `text` field of collected (pos, text) structs in position order."""
     return F.array_join(F.transform(F.array_sort(parts), lambda x: x["text"]), sep)
+
+
+def strip(value: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
+def exact_round(value: Column, digits: int) -> Column:
+    """Round the binary value half to even, as Python's round does."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit("")).cast("double")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str) -> DataFrame:
+    """Dense position of every row of its key, also where one key holds most rows.
+
+    `bucket` must grow with the order (a day, a level). Rows are numbered inside (key, bucket), which spreads a hot key
+    over tasks, and shifted by the counts of the earlier buckets, which are few and already aggregated.
+    """
+    work = df.withColumn("_bucket", bucket)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = work.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).withColumn(
+        "_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    return work.join(counts, [*keys, "_bucket"]).withColumn(
+        name, (F.row_number().over(inside) + F.col("_shift")).cast("long")).drop("_bucket", "_shift")

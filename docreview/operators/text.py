@@ -144,7 +144,7 @@ def infer_rule_set(df: DataFrame, markers, default: str, head_chars: int = 200,
 
 def split_clauses(df: DataFrame, separator: str = "\n\n", text: str = "text") -> DataFrame:
     """Non-blank paragraphs -> (doc_id, clause_id from 1, title, content)."""
-    parts = F.filter(F.transform(F.split(F.col(text), separator), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(F.col(text), separator), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     return df.select("doc_id", F.posexplode(parts).alias("pos", "content")).select(
         "doc_id", (F.col("pos") + 1).cast("long").alias("clause_id"),
         F.substring(F.substring_index("content", "\n", 1), 1, 50).alias("title"), "content")
@@ -156,7 +156,7 @@ def split_sentences(df: DataFrame, pattern: str = r"[。；;！？\n\r]+", min_c
 
 
 def _sentences(text: Column, pattern: str, min_chars: int) -> Column:
-    return F.filter(F.transform(F.split(text, pattern), F.trim), lambda s: F.length(s) >= min_chars)
+    return F.filter(F.transform(F.split(text, pattern), lambda s: F.trim(s)), lambda s: F.length(s) >= min_chars)
 
 
 def extract_trigger_query(df: DataFrame, triggers: Sequence[str], pattern: str = r"[。；;！？\n\r]+", min_chars: int = 4,
