@@ -65,6 +65,11 @@ def ordered_text(parts: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(parts), lambda x: x["text"]), sep)
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once: keeps big expressions small where a branch uses it repeatedly."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(value: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(value, r"^\s+|\s+$", "")

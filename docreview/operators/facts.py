@@ -8,26 +8,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docreview.functions.scalars import clamp, exact_round, occurrences, strip
+from docreview.functions.scalars import clamp, exact_round, let, occurrences, strip
 from docreview.packs.latin import FactRule
 
 PRESENT, MISSING, CONTRADICTED = "present", "missing", "contradicted"
 
 
-def _match(text: Column, pattern: str, group: int) -> Column:
-    """The match, or null: patterns never match the empty string."""
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found != "", found)
-
-
-def first_match(text: Column, patterns: Sequence[str]) -> tuple[Column, Column]:
-    """(whole match, group 1) of the first pattern that matches, null where none does."""
-    whole, group = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for pattern in reversed(patterns):
-        hit = _match(text, pattern, 0)
-        inner = _match(text, pattern, 1) if re.compile(pattern).groups else F.lit(None).cast("string")
-        whole, group = F.when(hit.isNotNull(), hit).otherwise(whole), F.when(hit.isNotNull(), inner).otherwise(group)
-    return whole, group
+def first_match(text: Column, patterns: Sequence[str]) -> Column:
+    """struct(whole, grp) of the first pattern that matches, null where none does; patterns never match nothing."""
+    if not patterns:
+        return F.lit(None).cast("struct<whole:string,grp:string>")
+    none = F.lit(None).cast("string")
+    tries = F.array(*[F.struct(
+        F.regexp_extract(text, p, 0).alias("whole"),
+        (F.nullif(F.regexp_extract(text, p, 1), F.lit("")) if re.compile(p).groups else none).alias("grp")) for p in patterns])
+    return F.get(F.filter(tries, lambda m: m["whole"] != ""), F.lit(0))
 
 
 def fact_confidence(captured: Column, evidence: Column, again: Column) -> Column:
@@ -38,8 +33,7 @@ def fact_confidence(captured: Column, evidence: Column, again: Column) -> Column
 
 
 def detect_contradiction(text: Column, patterns: Sequence[str]) -> Column:
-    whole, _ = first_match(text, patterns)
-    return F.coalesce(whole, F.lit(""))
+    return F.coalesce(first_match(text, patterns)["whole"], F.lit(""))
 
 
 def extract_facts(df: DataFrame, rule_sets: dict[str, Sequence[FactRule]],
@@ -52,12 +46,12 @@ def extract_facts(df: DataFrame, rule_sets: dict[str, Sequence[FactRule]],
     body = F.col(text)
 
     def fact(rule: FactRule, ord_: int) -> Column:
-        whole, group = first_match(body, rule.patterns)
-        return F.struct(
+        cut = let(first_match(body, rule.patterns), lambda m: F.struct(
+            strip(m["whole"]).alias("found"), strip(m["grp"]).alias("inner")))
+        return let(cut, lambda m: F.struct(
             F.lit(ord_).cast("long").alias("ord"), F.lit(rule.key).alias("key"), F.lit(rule.required).alias("required"),
-            strip(whole).alias("found"), strip(group).alias("inner"),
-            (occurrences(body, strip(whole)) > 1).alias("again"),
-            detect_contradiction(body, contradictions.get(rule.key, ())).alias("counter_phrase"))
+            m["found"].alias("found"), m["inner"].alias("inner"), (occurrences(body, m["found"]) > 1).alias("again"),
+            detect_contradiction(body, contradictions.get(rule.key, ())).alias("counter_phrase")))
 
     by_set = F.lit(None)
     for name, rules in rule_sets.items():
