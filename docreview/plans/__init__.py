@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "text", "review", "metadata", "evaluation")
+MODULES = ("retrieval", "text", "review", "metadata", "evaluation", "analytics")
 
 for _name in MODULES:
     import_module(f"docreview.plans.{_name}")
