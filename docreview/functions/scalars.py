@@ -93,3 +93,10 @@ def numbered(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return work.join(counts, [*keys, "_bucket"]).withColumn(
         name, (F.row_number().over(inside) + F.col("_shift")).cast("long")).drop("_bucket", "_shift")
+
+
+def lookup_number(key: Column, values: dict[str, int]) -> Column:
+    """Number of a small literal map, null where the key is unknown."""
+    if not values:
+        return F.lit(None).cast("int")
+    return F.element_at(F.create_map(*[F.lit(x) for item in values.items() for x in item]), key)

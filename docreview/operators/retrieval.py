@@ -446,3 +446,21 @@ def index_partition(signature: str) -> str:
     import hashlib
 
     return hashlib.sha256(signature.encode()).hexdigest()[:8]
+
+
+def assemble_context(questions: DataFrame, refs: DataFrame, titles: DataFrame, reports: DataFrame, risks: DataFrame,
+                     most: int = 6) -> DataFrame:
+    """Material per question: its numbered references, and the head and first risks of the linked report.
+
+    `questions(query_id, report_id)`, `refs(query_id, ref_id, position)`, `titles(ref_id, title)`, `reports(report_id,
+    head)`, `risks(report_id, order, level, category)`. A question has a handful of references, a report `most` risks.
+    """
+    numbered_refs = refs.join(titles, "ref_id").groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(
+        F.collect_list(F.struct("position", "title"))), lambda x: F.concat(F.lit("["), x["position"].cast("string"), F.lit("] "), x["title"])),
+        "\n").alias("refs"))
+    line = F.concat(F.lit("- ["), F.col("level"), F.lit("] "), F.col("category"))
+    top = top_rows(risks, ("report_id",), [F.col("order")], most, "nth").groupBy("report_id").agg(F.array_join(F.transform(F.sort_array(
+        F.collect_list(F.struct(F.col("nth"), line.alias("line")))), lambda x: x["line"]), "\n").alias("risks"))
+    body = reports.join(top, "report_id", "left").select("report_id", F.concat_ws("\n", "head", "risks").alias("report"))
+    return questions.join(numbered_refs, "query_id", "left").join(body, "report_id", "left").select(
+        "query_id", F.coalesce("refs", F.lit("")).alias("refs"), F.coalesce("report", F.lit("")).alias("report"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "text", "review", "metadata", "evaluation", "analytics")
+MODULES = ("retrieval", "text", "review", "metadata", "evaluation", "analytics", "layout", "sources", "state")
 
 for _name in MODULES:
     import_module(f"docreview.plans.{_name}")

@@ -10,8 +10,9 @@ ENTITIES: tuple[tuple[str, str], ...] = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"),
 )
 SKIPPED = ("script", "style", "noscript", "svg", "template")
-BLOCKS = ("p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "h1", "h2", "h3",
-          "h4", "h5", "h6", "title", "nav", "aside", "main", "blockquote", "pre", "dd", "dt", "dl", "hr", "form")
+BLOCKS = ("p", "div", "section", "article", "blockquote", "pre", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "br",
+          "tr", "ul", "ol", "table", "header", "footer")
+SPACE = r"[\s\x{a0}\x{3000}]"
 
 
 def decode_entities(value: Column) -> Column:
@@ -20,20 +21,24 @@ def decode_entities(value: Column) -> Column:
     return value
 
 
-def _squeeze(value: Column) -> Column:
-    return F.trim(F.regexp_replace(value, r"[ \t\r\n\f\x0b\x{a0}]+", " "))
-
-
 def html_to_text(df: DataFrame, html: str = "html", max_title: int = 200) -> DataFrame:
-    """Adds `title` and `content`: one line per block tag, skipped elements and comments dropped, title first."""
-    body = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->", "")
+    """Adds `title` and `content`: one line per block tag, pieces between other tags joined by a blank.
+
+    Skipped elements and comments are dropped; the title comes first, followed by a blank line. A chain of native
+    replacements: two control characters stand for block ends and for other tags until the pieces are joined.
+    """
+    block, piece = "\x01", "\x02"
+    body = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->", piece)
     for tag in SKIPPED:
-        body = F.regexp_replace(body, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", "")
-    title = F.substring(_squeeze(decode_entities(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title", 1))), 1, max_title)
-    body = F.regexp_replace(body, r"(?is)<title[^>]*>.*?</title\s*>", "")
-    body = F.regexp_replace(body, rf"(?i)</?({'|'.join(BLOCKS)})(\s[^>]*|/)?>", "\n")
-    body = F.regexp_replace(body, r"<[^>]*>", "")
-    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: _squeeze(decode_entities(x))), lambda x: F.length(x) > 0)
-    text = F.array_join(lines, "\n")
+        body = F.regexp_replace(body, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", piece)
+    raw_title = decode_entities(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title", 1))
+    trim = lambda v: F.regexp_replace(v, f"^{SPACE}+|{SPACE}+$", "")
+    title = F.substring(trim(F.regexp_replace(raw_title, f"{SPACE}+", " ")), 1, max_title)
+    body = F.regexp_replace(body, r"(?is)<title[^>]*>.*?</title\s*>", piece)
+    body = F.regexp_replace(body, rf"(?i)</?(?:{'|'.join(BLOCKS)})(?:[\s/][^>]*)?>", block)
+    body = F.regexp_replace(body, r"<[^>]*>", piece)
+    join = lambda b: F.array_join(F.filter(F.transform(F.split(b, piece), lambda x: trim(decode_entities(x))),
+                                           lambda x: F.length(x) > 0), " ")
+    text = F.array_join(F.filter(F.transform(F.split(body, block), join), lambda x: F.length(x) > 0), "\n")
     return df.withColumn("title", title).withColumn("content", F.when(
-        F.length("title") > 0, F.concat_ws("\n", "title", text)).otherwise(text))
+        F.length("title") > 0, F.concat("title", F.lit("\n\n"), text)).otherwise(text))
