@@ -97,7 +97,10 @@ class _Store(StatefulProcessor):
 
 
 def stream_ttl_store(puts: DataFrame, ttl_hours: float = 24) -> DataFrame:
-    """`puts(namespace, key long, value double, updated_at, op)` -> changes of the store; values leave after their TTL."""
+    """`puts(namespace, key long, value double, updated_at, op)` -> changes of the store; values leave after their TTL.
+
+    Processing-time state keeps asking for further batches: run it continuously or with `once`, not with `availableNow`.
+    """
     ttl_ms = int(ttl_hours * 3_600_000) if ttl_hours > 0 else None
     return puts.groupBy("namespace", "key").transformWithStateInPandas(
         _Store(ttl_ms), "namespace string, key long, value double, updated_at timestamp, op string", "Update", "ProcessingTime")

@@ -25,13 +25,13 @@ def read_stream(spark, events):
     return spark.readStream.schema(table.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(root)
 
 
-def finish(df, tmp_path, mode, spark, keep_batches=False):
+def finish(df, tmp_path, mode, spark, **trigger):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
 
     def write(batch, batch_id):
         batch.withColumn("batch_no", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/b{batch_id}")
 
-    df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(**trigger or {"availableNow": True}).foreachBatch(write).start().awaitTermination(60)
     return spark.read.option("recursiveFileLookup", "true").parquet(out)
 
 
@@ -55,7 +55,7 @@ def test_ttl_store(spark, events, tmp_path):
     to_puts = lambda df: df.select("kind", "key", "value", F.col("ts").alias("updated_at"), "id").select(
         F.concat(F.lit("feedback/"), "kind").alias("namespace"), "key", "value", "updated_at",
         F.when(F.col("value") < 1, "delete").otherwise("put").alias("op"))
-    got = finish(S.stream_ttl_store(to_puts(read_stream(spark, events)), 10_000), tmp_path, "update", spark)
+    got = finish(S.stream_ttl_store(to_puts(read_stream(spark, events)), 10_000), tmp_path, "update", spark, once=True)
     last = got.groupBy("namespace", "key").agg(F.max_by(F.struct("value", "op"), "batch_no").alias("r")).select("namespace", "key", "r.*")
     live = last.filter("op = 'put'").select("namespace", "key", "value")
     batch = W.ttl_store(to_puts(events[1]), F.lit("2030-01-01"), 0, 10 ** 6, 10 ** 6).select("namespace", "key", "value")
