@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -230,17 +232,38 @@ def indexed_text(name: Column, article: Column, content: Column, keywords: Colum
     return F.concat_ws(" ", name, article, content, F.array_join(keywords, ", "))
 
 
-def bm25_index(docs: DataFrame, text: str = "text", lexicon: tuple[str, ...] = ()) -> BM25Index:
-    """Index `docs(doc_id, text)`. Tokens are combined per (document, term) before the only wide shuffle."""
-    cut = docs.select("doc_id", tokens(F.col(text), lexicon).alias("tok")).select(
-        "doc_id", "tok", F.size("tok").cast("long").alias("dl"))
-    postings = cut.select("doc_id", "dl", F.explode("tok").alias("term")).groupBy("doc_id", "dl", "term").agg(
-        F.count("*").alias("tf"))
-    stats = cut.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    # Counting on tf keeps this branch identical to the postings, so that Spark reuses their shuffle.
-    frequency = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    n_docs = stats.select("n_docs").scalar()
-    terms = frequency.withColumn("idf", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def term_counts(docs: DataFrame, text: str = "text", lexicon: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, dl, term, tf) without a shuffle: a document is one row, so its tokens are counted where it lies.
+
+    The tokens are cut on the JVM; each Arrow batch is grouped by (row, term) in vectorised code.
+    """
+    def count(batches):
+        for batch in batches:
+            tok = batch.column("tok")
+            rows = pa.table({"i": pc.list_parent_indices(tok), "term": pc.list_flatten(tok)}).group_by(
+                ["i", "term"]).aggregate([([], "count_all")])
+            at = rows["i"].combine_chunks()
+            yield from pa.table({
+                "doc_id": pc.take(batch.column("doc_id"), at), "dl": pc.take(pc.list_value_length(tok), at).cast("int64"),
+                "term": rows["term"], "tf": rows["count_all"]}).to_batches()
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("dl", T.LongType()), T.StructField("term", T.StringType()),
+                           T.StructField("tf", T.LongType())])
+    return docs.select("doc_id", tokens(F.col(text), lexicon).alias("tok")).mapInArrow(count, schema)
+
+
+def bm25_index(docs: DataFrame, text: str = "text", lexicon: tuple[str, ...] = (), path: str | None = None) -> BM25Index:
+    """Index `docs(doc_id, text)`. With a path the postings are written once and everything else reads that table."""
+    postings = term_counts(docs, text, lexicon)
+    if path:
+        postings.write.mode("overwrite").parquet(f"{path}/postings")
+        postings = docs.sparkSession.read.parquet(f"{path}/postings")
+    n_docs = docs.agg(F.count("*")).scalar()
+    stats = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")).withColumn("n_docs", n_docs).select(
+        "n_docs", (F.col("total") / F.col("n_docs")).alias("avgdl"))
+    # Terms combine inside each partition before their shuffle.
+    terms = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn(
+        "idf", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     return BM25Index(postings, terms, stats)
 
 

@@ -5,6 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out where the files give fewer partitions than half the cores (one small file, one row group).
+
+    Text work is bound by the CPU, so this pays on a small input; a large one has more splits than cores and stays
+    as it is, without a shuffle. Filters and column pruning still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 class Tables:
     """`Tables(spark, dir).orders` reads `dir/orders.parquet`; Catalyst prunes columns and pushes filters."""
 
@@ -15,4 +28,5 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df

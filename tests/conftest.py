@@ -13,7 +13,7 @@ SF = os.environ.get("DOCREVIEW_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from docreview.session import build_session
 
-    session = build_session("local[8]", 4, **{"spark.driver.memory": "8g", "spark.ui.enabled": "false"})
+    session = build_session("local[8]", 4, **{"spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
