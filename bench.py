@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from docreview.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "r02_vector_topk", "r04_bm25_terms", "r05_bm25_topk", "r09_hybrid_search", "r10_retrieve_for_clauses",
+    "r02_vector_topk", "r04_bm25_terms", "r05_bm25_topk", "r09_hybrid_search",
     "t05_classify_documents", "t10_chunk_documents", "t13_categorize_clauses", "f07_review_documents", "k04_quality_gate",
     "k08_rewrite_clauses", "b04_merge_table_chains", "b07_regions_from_words", "e05_aggregate_metrics", "m04_verify_summary",
     "a05_assemble_reports", "a14_latest_feedback", "s04_html_to_text", "w02_replay_from_cursor", "w04a_request_rate",

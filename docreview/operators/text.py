@@ -1,9 +1,10 @@
-"""Text preparation and classification. Every operator is a projection over the documents, without a shuffle."""
+"""Text preparation and classification. Every operator works on the document rows where they lie, without a shuffle."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -239,57 +240,52 @@ def extract_obligations(df: DataFrame, obligations, date_pattern: str, amount_pa
         "obligations", labels).withColumn("auto_renewal", F.contains(value, F.lit(renewal)))
 
 
+def _pack(clean: str, pieces: list[str], size: int, overlap: int):
+    """Greedy chunks of one text: (text, start, end) with the offsets of the chunk's own pieces."""
+    buffer, start, end = "", 0, 0
+    for piece in pieces:
+        at = clean.index(piece, end)
+        candidate = f"{buffer}\n{piece}".strip() if buffer else piece
+        if buffer and len(candidate) > size:
+            yield buffer, start, end
+            buffer, start = (f"{buffer[-overlap:]}\n{piece}" if overlap else piece), at
+        else:
+            start = start if buffer else at
+            buffer = candidate
+        end = at + len(piece)
+    if buffer:
+        yield buffer, start, end
+
+
 def chunk_documents(df: DataFrame, size: int = 700, overlap: int = 120, title: str | None = None,
                     cut_at: str = r"(?<=[。！？；;])\s*|\n", text: str = "text") -> DataFrame:
     """Paragraph-first greedy chunks -> (doc_id, chunk_id, chunk_index, text, start, end, title).
 
     Over-long paragraphs are cut at `cut_at`. A new chunk starts with the last `overlap` characters of the one before.
     `start` and `end` are the true offsets of the chunk's own pieces (the carried overlap lies before `start`) in the
-    CRLF-normalised, trimmed text. Everything happens inside the row: a fold over its pieces, then an explode.
+    CRLF-normalised, trimmed text. The texts are cut into pieces on the JVM; packing them depends on every piece before
+    and runs over Arrow batches, row by row in place, which measured faster than a fold over arrays.
     """
     if overlap < 0 or size <= overlap:
         raise ValueError("size must exceed overlap, and overlap must not be negative")
     trim = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
     nonblank = lambda arr: F.filter(arr, lambda s: F.length(s) > 0)
     clean = trim(F.regexp_replace(F.col(text), r"\r\n?", "\n"))
-    units = nonblank(F.transform(F.split("_clean", r"\n\s*\n+"), trim))
+    units = nonblank(F.transform(F.split("clean", r"\n\s*\n+"), trim))
     pieces = F.flatten(F.transform(units, lambda u: F.when(F.length(u) <= size, F.array(u)).otherwise(
         nonblank(F.transform(F.split(u, cut_at), trim)))))
 
-    packed = "struct<chunks:array<struct<text:string,first:int,last:int>>,buffer:string,first:int,pos:int>"
-
-    def pack(acc: Column, piece: Column) -> Column:
-        open_ = F.length(acc["buffer"]) > 0
-        candidate = F.when(open_, trim(F.concat(acc["buffer"], F.lit("\n"), piece))).otherwise(piece)
-        full = open_ & (F.length(candidate) > size)
-        carried = F.concat(F.right(acc["buffer"], F.lit(overlap)), F.lit("\n"), piece) if overlap else piece
-        closed = F.struct(acc["buffer"].alias("text"), acc["first"].alias("first"), (acc["pos"] - 1).alias("last"))
-        return F.struct(F.when(full, F.concat(acc["chunks"], F.array(closed))).otherwise(acc["chunks"]).alias("chunks"),
-                        F.when(full, carried).otherwise(candidate).alias("buffer"),
-                        F.when(full, acc["pos"]).otherwise(acc["first"]).alias("first"),
-                        (acc["pos"] + 1).alias("pos")).cast(packed)
-
-    def close(acc: Column) -> Column:
-        rest = F.struct(acc["buffer"].alias("text"), acc["first"].alias("first"), (acc["pos"] - 1).alias("last"))
-        return F.concat(acc["chunks"], F.array(rest))
-
-    placed = "struct<at:array<int>,cursor:int>"
-
-    def place(acc: Column, piece: Column) -> Column:
-        found = F.position(piece, F.col("_clean"), acc["cursor"])
-        return F.struct(F.concat(acc["at"], F.array(found)).alias("at"),
-                        (found + F.length(piece)).alias("cursor")).cast(placed)
-
-    start = lambda kind, zero: F.from_json(F.lit(zero), kind)
-    cut = df.select("doc_id", (F.col(title) if title else F.lit("")).alias("title"), clean.alias("_clean")).filter(
-        F.length("_clean") > 0).withColumn("_pieces", pieces)
-    cut = cut.withColumn("_at", F.aggregate("_pieces", start(placed, '{"at":[],"cursor":1}'), place, lambda a: a["at"]))
-    cut = cut.withColumn("_chunks", F.aggregate(
-        "_pieces", start(packed, '{"chunks":[],"buffer":"","first":0,"pos":0}'), pack, close))
-    first, last = F.col("c.first"), F.col("c.last")
-    return cut.select("doc_id", "title", "_pieces", "_at", F.posexplode("_chunks").alias("i", "c")).select(
-        "doc_id",
-        F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.lpad(F.col("i").cast("string"), 4, "0")).alias("chunk_id"),
-        F.col("i").cast("long").alias("chunk_index"), F.col("c.text").alias("text"),
-        (F.get("_at", first) - 1).cast("long").alias("start"),
-        (F.get("_at", last) - 1 + F.length(F.get("_pieces", last))).cast("long").alias("end"), "title")
+    def chunks(batches):
+        for batch in batches:
+            rows = [(doc, i, *chunk, name) for doc, name, whole, parts in zip(
+                batch["doc_id"], batch["title"], batch["clean"], batch["pieces"])
+                for i, chunk in enumerate(_pack(whole, parts, size, overlap))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "start", "end", "title"])
+
+    cut = df.select("doc_id", (F.col(title) if title else F.lit("")).alias("title"), clean.alias("clean")).filter(
+        F.length("clean") > 0).withColumn("pieces", pieces)
+    kind = df.schema["doc_id"].dataType.simpleString()
+    packed = cut.mapInPandas(chunks, f"doc_id {kind}, chunk_index long, text string, start long, end long, title string")
+    return packed.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.lpad(
+        F.col("chunk_index").cast("string"), F.greatest(F.lit(4), F.length(F.col("chunk_index").cast("string"))), F.lit("0"))).alias("chunk_id"),
+        "chunk_index", "text", "start", "end", "title")

@@ -135,10 +135,10 @@ def test_fuzzy_matching_is_greedy(spark):
 
 
 def test_columns(spark):
-    boxes = [(1, 1, 0.0, 100.0), (1, 1, 10.0, 190.0), (1, 1, 300.0, 480.0), (1, 1, 520.0, 600.0)]
+    boxes = [(1, 1, 0.0, 100.0), (1, 1, 10.0, 190.0), (1, 1, 260.0, 480.0), (1, 1, 520.0, 600.0)]
     df = spark.createDataFrame([(*b, 620.0) for b in boxes], "doc_id long, page long, x0 double, x1 double, page_width double")
     got = [(c.lo, c.hi) for c in L.detect_columns(df, 4).first().columns]
-    assert got == [(0.0, 245.0), (245.0, 500.0), (500.0, 620.0)]
+    assert got == [(0.0, 225.0), (225.0, 500.0), (500.0, 620.0)]
 
 
 def test_decoding_files(spark, tmp_path):
