@@ -54,3 +54,14 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iter
         held += n
     if start < len(lengths):
         yield batch.slice(start)
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str, salts: int = 64) -> DataFrame:
+    """`left` with the columns of `right`, which has one row per `key`; null where there is none.
+
+    A key may hold a third of `left`: its rows are dealt into `salts` parts by the hash of `spread_by`, and the one row of
+    `right` is repeated once per part that asks for it. No hot key meets in one task, and no pairs arise.
+    """
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    asked = left.filter(F.col(key).isNotNull()).select(key, "_salt").distinct()
+    return left.join(asked.join(right, key), [key, "_salt"], "left").drop("_salt")
