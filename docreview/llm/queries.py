@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from docreview.llm import chat, exact_dedup, fingerprint, line_dedup, mixing
+from docreview.llm import bpe, chat, exact_dedup, fingerprint, line_dedup, mixing, warc
 
 QUERIES = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_warc": warc.op5_warc,
     "op9_format_preferences": chat.op9_format_preferences,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLES = {"op3_line_dedup": line_dedup.SQL, "op9_format_preferences": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op5_warc": warc.SQL, "op3_line_dedup": line_dedup.SQL, "op9_format_preferences": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
