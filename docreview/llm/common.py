@@ -65,3 +65,20 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str, salts: i
     left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     asked = left.filter(F.col(key).isNotNull()).select(key, "_salt").distinct()
     return left.join(asked.join(right, key), [key, "_salt"], "left").drop("_salt")
+
+
+def marked(rows: DataFrame, key: str, wanted: DataFrame, slots: int = 1 << 24) -> DataFrame:
+    """The rows whose `key` may be in `wanted(key)`: a Bloom filter of fixed size (`slots` / 8 bytes, broadcast) passes all
+    members and few others, so that a join behind it does not shuffle the whole table."""
+    part = slots // 2
+    spots = lambda i: F.pmod(F.xxhash64(key, F.lit(i)), F.lit(part)) + F.lit(i * part + 1)
+    bitmaps = wanted.select(F.explode(F.array(spots(0), spots(1))).alias("slot")).groupBy(
+        F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    for i in range(2):
+        at = F.expr(f"bitmap_bit_position(_slot{i})")
+        own = bitmaps.select(F.col("bucket").alias(f"_bucket{i}"), F.col("bits").alias(f"_bits{i}"))
+        rows = rows.withColumn(f"_slot{i}", spots(i))
+        rows = rows.join(F.broadcast(own), F.expr(f"bitmap_bucket_number(_slot{i})") == F.col(f"_bucket{i}"))
+        byte = F.conv(F.hex(F.substring(F.col(f"_bits{i}"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        rows = rows.filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1)
+    return rows.drop(*[f"_{x}{i}" for x in ("slot", "bucket", "bits") for i in range(2)])
