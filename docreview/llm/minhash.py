@@ -44,17 +44,20 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the runs of `words` words of each text; a shorter text is one run."""
-    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of a run of bytes that ends with a blank."""
     blank = _BLANK[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], blank)).view(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
     # A word's hash is a difference of prefix sums of a polynomial, moved back to its start.
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * _powers(_BASE, len(data)), dtype=np.uint64)))
     hashes = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64)
-    hashes = _permuted(hashes, _FACTORS[2], _FACTORS[3])
-    del sums
+    return starts, ends, _permuted(hashes, _FACTORS[2], _FACTORS[3])
+
+
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the runs of `words` words of each text; a shorter text is one run."""
+    starts, _, hashes = words_of(_LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)])
     first = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):

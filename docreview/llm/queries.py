@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docreview.llm import bpe, chat, exact_dedup, fingerprint, line_dedup, minhash, mixing, warc
+from docreview.llm import bpe, chat, exact_dedup, fingerprint, langid, line_dedup, minhash, mixing, quality, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_warc": warc.op5_warc,
     "op6_minhash": minhash.op6_minhash,
+    "op7_langid": langid.op7_langid,
+    "op8_quality": quality.op8_quality,
     "op9_format_preferences": chat.op9_format_preferences,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
