@@ -85,7 +85,7 @@ def route(capacity: list[int], members: list[list[int]], quotas: list[int], copi
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), copies: int = 3, seed: int = 17, max_patterns: int = 4096) -> DataFrame:
-    """`docs(row, sources array<string>, size long, ...)` with `taken` and `target` added, other columns kept.
+    """`docs(row, sources array<string>, size long, ...)` with `copies`, `taken` (their words) and `target` added.
 
     `target` is the sum of the targets of the row's sources. `row` must be set; equal rows are interchangeable. A null
     inside `sources` is a source of its own, ordered last; a null array counts as [null]. Sources are ordered by code
@@ -133,7 +133,8 @@ def mix(docs: DataFrame, weights=(1, 2, 3), copies: int = 3, seed: int = 17, max
     upto = F.sum("size").over(Window.partitionBy("_pattern").orderBy("_order", "row", "size").rowsBetween(Window.unboundedPreceding, 0))
     at_cut = at_cut.withColumn("_extra", (2 * upto - F.col("size") < 2 * F.col("_left")).cast("long"))
     others = work.filter(_prefix(depth) != F.col("_path")).withColumn("_extra", (_prefix(depth) < F.col("_path")).cast("long"))
-    return others.unionByName(at_cut).withColumn("taken", F.col("size") * (F.col("_full") + F.col("_extra"))).drop(
+    both = others.unionByName(at_cut).withColumn("copies", F.col("_full") + F.col("_extra"))
+    return both.withColumn("taken", F.col("size") * F.col("copies")).drop(
         "_pattern", "_order", "_full", "_rest", "_path", "_left", "_extra")
 
 
