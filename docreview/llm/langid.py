@@ -44,15 +44,14 @@ def _letters() -> np.ndarray:
 
 def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all texts, runs of other characters being one blank, and the offset at which each text starts."""
-    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    codes = _letters()[np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32)]
     starts = np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1]
-    codes = _letters()[codes] if len(codes) else codes
     real = codes != BLANK
     kept = real.copy()
     kept[1:] |= real[:-1]
-    kept[starts[starts < len(codes)]] = real[starts[starts < len(codes)]]
+    kept[starts] = real[starts]  # no text begins with the blank of the one before it
     before = np.concatenate(([0], np.cumsum(kept)))
-    return codes[kept], before[np.minimum(starts, len(codes))]
+    return codes[kept], before[starts]
 
 
 def windows(codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -147,7 +146,13 @@ class Model:
     levels: list[Level]
     unseen: np.ndarray
     sharpness: float = 20.0
-    reject_above: np.ndarray | None = None
+    usual: np.ndarray | None = None
+    """Per language: mean cross-entropy of its texts, variance between texts, variance of one letter."""
+
+    def rejected(self, lang: np.ndarray, entropy: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Cross-entropies 4 standard deviations above what texts of the language and of this length show."""
+        mean, between, letter = self.usual[lang].T
+        return entropy > mean + 4 * np.sqrt(between + letter / np.maximum(sizes, 1))
 
     def log_probabilities(self, grams: list[np.ndarray]) -> np.ndarray:
         """Per place and language."""
@@ -203,14 +208,14 @@ def fit(train: DataFrame) -> Model | None:
 
 
 def calibrate(model: Model, texts: list[str], langs: list[str]) -> None:
-    """Sets the sharpness with the best log loss, and per language the cross-entropy that 4 deviations above the mean reach."""
-    model.reject_above = np.full(len(model.langs), np.inf)
+    """Sets the sharpness with the best log loss, and what is usual in each language."""
+    model.usual = np.full((len(model.langs), 3), np.inf)
     if not texts:
         return
     entropy, sizes = model.entropies(texts)
     own = np.searchsorted(model.langs, langs)
     keep = sizes > 0
-    entropy, own = entropy[keep], own[keep]
+    entropy, own, sizes = entropy[keep], own[keep], sizes[keep]
     if not len(own):
         return
     losses = {}
@@ -221,7 +226,7 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> None:
     for i in range(len(model.langs)):
         mine = entropy[own == i, i]
         if len(mine) > 1:
-            model.reject_above[i] = mine.mean() + 4 * max(mine.std(), 0.05)
+            model.usual[i] = mine.mean(), max(mine.var(), 0.0025), (sizes[own == i] * (mine - mine.mean()) ** 2).mean()
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -245,7 +250,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 p = 1 / np.exp(-own.sharpness * (entropy - low[:, None])).sum(axis=1)
                 best = [own.langs[i] if n else UNKNOWN for i, n in zip(at, sizes)]
                 score = np.where(sizes > 0, p, 0.0)
-                rejected = (sizes > 0) & (low > own.reject_above[at])
+                rejected = (sizes > 0) & own.rejected(at, low, sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()),
                                               pa.array(rejected, pa.bool_())], ["row", "lang_pred", "score", "rejected"])
 

@@ -19,9 +19,12 @@ DIGIT_BITS = 12
 HASH_BITS = 60
 
 
-def fill_targets(sizes: dict, weights: dict, cap: float) -> dict:
-    """Shares of all words by weight; a source's target stops at `cap` times its size, the excess goes to the others."""
-    left, open_ = float(sum(sizes.values())), list(sizes)
+def fill_targets(sizes: dict, weights: dict, cap: float, words: int | None = None) -> dict:
+    """Shares by weight of all words, of which `words` are distinct where sources overlap.
+
+    A source's target stops at `cap` times its size; the excess goes to the others.
+    """
+    left, open_ = float(sum(sizes.values()) if words is None else words), list(sizes)
     targets = {}
     while open_:
         total = sum(weights[s] for s in open_)
@@ -104,7 +107,8 @@ def mix(docs: DataFrame, weights=(1, 2, 3), copies: int = 3, seed: int = 17, max
     sets = [json.loads(r["_pattern"]).get("s", [None]) for r in totals]
     names = sorted({s for group in sets for s in group}, key=lambda s: (s is None, s or ""))
     sizes = {s: sum(r["words"] for r, group in zip(totals, sets) if s in group) for s in names}
-    targets = fill_targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, copies)
+    targets = fill_targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, copies,
+                           sum(r["words"] for r in totals))
     flow = route([r["words"] for r in totals], [[names.index(s) for s in group] for group in sets],
                  [round(targets[s]) for s in names], copies)
     plan = []
