@@ -186,10 +186,15 @@ class Model:
 
 
 def fit(train: DataFrame) -> Model | None:
-    """Models of all languages of `train(doc_id, text, lang)`; None without rows. Every row counts, whole."""
+    """Models of all languages of `train(doc_id, text, lang)`; None without rows.
+
+    A tenth of the rows at most, and about CALIBRATION_ROWS, is set aside for the calibration; all others count, whole.
+    """
     train = train.filter("lang IS NOT NULL").select("doc_id", "lang", whole("text").alias("text"))
+    every = max(10, -(-train.count() // CALIBRATION_ROWS))
+    aside = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0, F.lit(False))
     grams = [f"c{i}" for i in range(ORDER)]
-    counted = count_ngrams(train)
+    counted = count_ngrams(train.filter(~aside))
     ranked = counted.withColumn("r", F.expr("row_number() OVER (PARTITION BY lang ORDER BY n DESC, c0, c1, c2, c3)")).filter(F.col("r") <= MAX_NGRAMS)
     wide = ranked.select("lang", *grams, "n").toArrow()
     langs = sorted(set(wide["lang"].to_pylist()))
@@ -201,8 +206,7 @@ def fit(train: DataFrame) -> Model | None:
     counts = np.zeros((len(rows), len(langs)))
     np.add.at(counts, (at.ravel(), np.searchsorted(langs, wide["lang"].to_numpy())), wide["n"].to_numpy())
     model = Model(langs, *build_levels(rows, counts))
-    every = max(1, -(-train.count() // CALIBRATION_ROWS))
-    sample = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * CALIBRATION_ROWS).toArrow()
+    sample = train.filter(aside & F.col("lang").isin(langs)).limit(2 * CALIBRATION_ROWS).toArrow()
     calibrate(model, sample["text"].to_pylist(), sample["lang"].to_pylist())
     return model
 
