@@ -122,11 +122,11 @@ def test_language_accuracy(spark):
 def lang_rows():
     rng = random.Random(2)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
-    return [(i, make("abcde" if i % 2 else "vwxyz"), "aa" if i % 2 else "zz") for i in range(40)]
+    return [(i, make("abcde" if i % 2 else "vwxyz"), "aa" if i % 2 else "zz") for i in range(400)]
 
 
 def test_language_cases(spark):
-    train = spark.createDataFrame(lang_rows() + [(50, None, "aa"), (51, "abc", None), (None, "vwx", "zz")], "doc_id long, text string, lang string")
+    train = spark.createDataFrame(lang_rows() + [(500, None, "aa"), (501, "abc", None), (None, "vwx", "zz")], "doc_id long, text string, lang string")
     model = langid.fit(train)
     assert model.langs == ["aa", "zz"]
     texts = ["abcde badce edcba", "ZYXvw", None, "", "123 !?", "漢字", "a" * 100_000, "zz 12 zz"]
