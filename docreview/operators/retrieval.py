@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docreview.functions.scalars import clamp, half_up, literals, top_rows
+from docreview.session import cut_lineage
 
 TOKEN = r"[\p{L}\p{N}]+"
 # Published BM25 parameters, fusion and rerank weights of the searched-for behaviour.
@@ -25,8 +26,12 @@ VECTOR_WEIGHT, SINGLE_CHANNEL = 0.65, 0.85
 MIN_SIMILARITY = 0.05
 POOL_FACTOR = 3
 
-MAX_LOCAL_QUERY_FLOATS = 8_000_000
-"""Query matrices up to this many values (64 MB) are shipped to every task; larger ones join on cells."""
+GROUP_FLOATS = 4_000_000
+"""Values of the query vectors that go to the tasks at a time (32 MB); more queries take more passes, in the same way."""
+TILE_QUERIES, TILE_VECTORS = 256, 4096
+"""Scores computed at a time inside a task: 8 MB."""
+FETCH_ROWS = 200_000
+"""Candidate rows up to which texts are fetched by a broadcast of the candidates; more rows are joined by a shuffle."""
 
 
 # --- tokens -----------------------------------------------------------------------------------------------
@@ -47,6 +52,21 @@ def tokens(text: Column, lexicon: tuple[str, ...] = (), bigrams: bool = False) -
     return F.concat(words, phrases)
 
 
+@dataclass(frozen=True)
+class Tokenizer:
+    """How an index and the searches in it cut texts; kept with the index, so that both always agree."""
+
+    lexicon: tuple[str, ...] = ()
+    bigrams: bool = False
+
+    def __call__(self, text: Column) -> Column:
+        return tokens(text, self.lexicon, self.bigrams)
+
+
+WORDS = Tokenizer()
+"""Words of scripts written with blanks; `Tokenizer(bigrams=True)` serves the others."""
+
+
 # --- dense vectors ----------------------------------------------------------------------------------------
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,57 +93,94 @@ def _hit_rank(df: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> D
         "score", F.round("score", 4)).withColumn("rank", F.col("rank").cast("long"))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, category=None, nlist: int = 128) -> DataFrame:
+def _cosine_rank(df: DataFrame, k: int) -> DataFrame:
+    """Rank by the cosine itself; the score that is returned is clamped to 0..1 afterwards."""
+    return _hit_rank(df, k).withColumn("score", clamp(F.col("score"), 0.0, 1.0))
+
+
+class _Best:
+    """The k best (query, doc, cosine) of a run of batches; holds what can still be among them."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.parts: list[tuple] = []
+        self.held = 0
+
+    def offer(self, at: int, scores: np.ndarray, docs: np.ndarray) -> None:
+        query, doc = np.nonzero(scores >= self.floor[at:at + len(scores), None])
+        self.parts.append((query + at, docs[doc], scores[query, doc]))
+        self.held += len(query)
+        if self.held > 4 * TILE_QUERIES * TILE_VECTORS:
+            self.cut()
+
+    def cut(self) -> None:
+        if not self.parts:
+            return
+        query, doc, score = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((doc, -score, query))
+        query, doc, score = query[order], doc[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = place < self.k
+        last = keep & (place == self.k - 1)
+        self.floor[query[last]] = score[last]
+        self.parts, self.held = [(query[keep], doc[keep], score[keep])], int(keep.sum())
+
+
+def _query_groups(queries: DataFrame):
+    """The queries in groups of GROUP_FLOATS values, each (ids, unit vectors); the driver holds one group at a time."""
+    ids, rows, held = [], [], 0
+    for row in queries.toLocalIterator():
+        ids.append(row.query_id), rows.append(row.embedding)
+        held += len(row.embedding)
+        if held >= GROUP_FLOATS:
+            yield ids, _unit(np.array(rows, dtype="float64"))
+            ids, rows, held = [], [], 0
+    if ids:
+        yield ids, _unit(np.array(rows, dtype="float64"))
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, category=None) -> DataFrame:
     """Exact cosine top-k -> (query_id, doc_id, score, rank).
 
-    `queries(query_id, embedding)`, `vectors(doc_id, embedding[, category])`. A category is applied before ranking.
-    A query matrix of checked size goes to the tasks, which keep k rows per query and partition; a larger one is
-    joined with the cells that can hold one of its k nearest.
+    `queries(query_id, embedding)`, `vectors(doc_id, embedding[, category])`; ids of any orderable type, rows without a
+    vector are skipped. A category is applied before ranking. Rows rank by the cosine to 8 digits, then by doc_id; the
+    score is clamped to 0..1 afterwards. Query vectors go to the tasks in groups of bounded size, every group in one pass
+    over the vectors; a task works on tiles and keeps k rows per query.
     """
     if category is not None:
         vectors = vectors.filter(F.col("category") == F.lit(category))
-    head = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
-    width = head.select(F.max(F.size("embedding")).alias("d"), F.count("*").alias("n")).first()
-    if width.n == 0:
-        return vectors.sparkSession.createDataFrame(
-            [], T.StructType([queries.schema["query_id"], vectors.schema["doc_id"],
-                              T.StructField("score", T.DoubleType()), T.StructField("rank", T.LongType())]))
-    if width.n * width.d > MAX_LOCAL_QUERY_FLOATS:
-        return cells_topk(head, build_cells(vectors, nlist), k)
-    return _matrix_topk(head, vectors, k)
-
-
-def _matrix_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    rows = queries.toPandas()
-    ids = rows["query_id"].to_numpy()
-    matrix = _unit(np.vstack(rows["embedding"].to_numpy()).astype("float64"))
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+    corpus = vectors.select("doc_id", "embedding").filter(F.col("embedding").isNotNull())
+    schema = T.StructType([queries.schema["query_id"], vectors.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    found = vectors.sparkSession.createDataFrame([], schema)
+    for ids, matrix in _query_groups(queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())):
+        found = found.unionByName(_group_topk(ids, matrix, corpus, k, schema))
+    return _cosine_rank(found, k)
+
+
+def _group_topk(ids: list, matrix: np.ndarray, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def best_rows(batches):
         query_ids, query_matrix = shared.value
-        best_score = np.empty((len(query_ids), 0))
-        best_doc = np.empty((len(query_ids), 0), dtype="int64")
+        best = _Best(len(query_ids), k)
         for batch in batches:
-            if not len(batch):
-                continue
-            block = _unit(np.vstack(batch["embedding"].to_numpy()).astype("float64"))
-            scores = np.clip(query_matrix @ block.T, 0.0, 1.0)
-            docs = np.broadcast_to(batch["doc_id"].to_numpy(), scores.shape)
-            best_score = np.concatenate([best_score, scores], axis=1)
-            best_doc = np.concatenate([best_doc, docs], axis=1)
-            if best_score.shape[1] > k:
-                order = np.lexsort((best_doc, -np.round(best_score, 8)), axis=1)[:, :k]
-                best_score = np.take_along_axis(best_score, order, axis=1)
-                best_doc = np.take_along_axis(best_doc, order, axis=1)
-        width = best_score.shape[1]
-        if width:
-            yield pd.DataFrame({"query_id": np.repeat(query_ids, width), "doc_id": best_doc.ravel(),
-                                "score": best_score.ravel()})
-
-    schema = T.StructType([queries.schema["query_id"], T.StructField("doc_id", T.LongType()),
-                           T.StructField("score", T.DoubleType())])
-    near = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding").mapInPandas(best_rows, schema)
-    return _hit_rank(near, k)
+            for start in range(0, batch.num_rows, TILE_VECTORS):
+                part = batch.slice(start, TILE_VECTORS)
+                docs = np.array(part.column(0).to_pylist())
+                flat = pc.list_flatten(part.column(1)).to_numpy(zero_copy_only=False).astype("float64")
+                block = _unit(flat.reshape(part.num_rows, -1))
+                for at in range(0, len(query_ids), TILE_QUERIES):
+                    best.offer(at, np.round(query_matrix[at:at + TILE_QUERIES] @ block.T, 8), docs)
+        best.cut()
+        for query, doc, score in best.parts:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([query_ids[i] for i in query.tolist()], types[0]), pa.array(doc.tolist(), types[1]), pa.array(score)],
+                names=["query_id", "doc_id", "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(f.dataType) for f in schema[:2]]
+    return corpus.mapInArrow(best_rows, schema)
 
 
 @dataclass
@@ -134,12 +191,36 @@ class Cells:
     centers: np.ndarray
     reach: dict[int, tuple[float, int]]
 
+    def save(self, path: str) -> None:
+        """Vectors, and one row per cell; searches then need no new clustering."""
+        spark = self.vectors.sparkSession
+        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        rows = [(i, c.tolist(), *(self.reach.get(i, (0.0, 0)))) for i, c in enumerate(self.centers)]
+        spark.createDataFrame(rows, "cell int, center array<double>, radius double, n long").coalesce(1).write.mode(
+            "overwrite").parquet(f"{path}/cells")
+
+    @staticmethod
+    def load(spark, path: str) -> Cells:
+        rows = sorted(spark.read.parquet(f"{path}/cells").collect(), key=lambda r: r.cell)
+        return Cells(spark.read.parquet(f"{path}/vectors"), np.array([r.center for r in rows]),
+                     {r.cell: (r.radius, r.n) for r in rows if r.n})
+
+
+ROWS_PER_CELL = 1000
+MAX_CELLS = 16_384
+"""Bound on the cells, whose centres go to the driver and to the tasks."""
+
+
+def build_cells(vectors: DataFrame, nlist: int | None = None, seed: int = 42, max_iter: int = 20) -> Cells:
+    """Cluster normalised vectors. Only the centres and one extent row per cell come to the driver.
 
-def build_cells(vectors: DataFrame, nlist: int = 128, seed: int = 42, max_iter: int = 20) -> Cells:
-    """Cluster normalised vectors. Only the centres and one extent row per cell come to the driver."""
+    Without `nlist` there is a cell for every ROWS_PER_CELL vectors, 16 at least and MAX_CELLS at most. Null vectors are skipped.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    vectors = vectors.filter(F.col("embedding").isNotNull())
+    nlist = nlist or min(MAX_CELLS, max(16, vectors.count() // ROWS_PER_CELL))
     unit = normalize_vectors(vectors.select("doc_id", "embedding")).withColumn(
         "features", array_to_vector("embedding"))
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell").fit(unit)
@@ -170,15 +251,15 @@ def _probe(queries: DataFrame, cells: Cells, choose) -> DataFrame:
             (block ** 2).sum(1)[:, None] + (centers ** 2).sum(1)[None, :] - 2 * block @ centers.T, 0.0))
         return pd.Series([choose(g) for g in gaps])
 
-    unit = normalize_vectors(queries.select("query_id", "embedding"))
+    unit = normalize_vectors(queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull()))
     return unit.select("query_id", F.col("embedding").alias("q"), F.explode(pick("embedding")).alias("cell"))
 
 
 def _join_cells(probes: DataFrame, cells: Cells, k: int) -> DataFrame:
     # Inner equi join on the cell: AQE splits cells that hold a large share of the vectors.
     pairs = probes.join(cells.vectors, "cell").select(
-        "query_id", "doc_id", clamp(dot(F.col("q"), F.col("embedding")), 0.0, 1.0).alias("score"))
-    return _hit_rank(pairs, k)
+        "query_id", "doc_id", dot(F.col("q"), F.col("embedding")).alias("score"))
+    return _cosine_rank(pairs, k)
 
 
 def ivf_topk(queries: DataFrame, cells: Cells, k: int, nprobe: int = 16) -> DataFrame:
@@ -216,6 +297,7 @@ class BM25Index:
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    tokenizer: Tokenizer = WORDS
 
     def save(self, path: str) -> None:
         self.postings.write.mode("overwrite").parquet(f"{path}/postings")
@@ -223,16 +305,11 @@ class BM25Index:
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
-    def load(spark, path: str) -> BM25Index:
-        return BM25Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats")))
-
+    def load(spark, path: str, tokenizer: Tokenizer = WORDS) -> BM25Index:
+        return BM25Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats")), tokenizer)
 
-def indexed_text(name: Column, article: Column, content: Column, keywords: Column) -> Column:
-    """The searched text of a reference row: name, article, content and keywords joined by a comma."""
-    return F.concat_ws(" ", name, article, content, F.array_join(keywords, ", "))
 
-
-def term_counts(docs: DataFrame, text: str = "text", lexicon: tuple[str, ...] = ()) -> DataFrame:
+def term_counts(docs: DataFrame, text: str = "text", tokenizer: Tokenizer = WORDS) -> DataFrame:
     """(doc_id, dl, term, tf) without a shuffle: a document is one row, so its tokens are counted where it lies.
 
     The tokens are cut on the JVM; each Arrow batch is grouped by (row, term) in vectorised code.
@@ -249,51 +326,60 @@ def term_counts(docs: DataFrame, text: str = "text", lexicon: tuple[str, ...] =
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("dl", T.LongType()), T.StructField("term", T.StringType()),
                            T.StructField("tf", T.LongType())])
-    return docs.select("doc_id", tokens(F.col(text), lexicon).alias("tok")).mapInArrow(count, schema)
+    return docs.select("doc_id", tokenizer(F.col(text)).alias("tok")).mapInArrow(count, schema)
+
 
+def bm25_index(docs: DataFrame, text: str = "text", tokenizer: Tokenizer = WORDS, path: str | None = None) -> BM25Index:
+    """Index `docs(doc_id, text)`: texts are read and tokenised once, and everything else reads the written postings.
 
-def bm25_index(docs: DataFrame, text: str = "text", lexicon: tuple[str, ...] = (), path: str | None = None) -> BM25Index:
-    """Index `docs(doc_id, text)`. With a path the postings are written once and everything else reads that table."""
-    postings = term_counts(docs, text, lexicon)
+    Without a path the postings go to the session's shared checkpoint folder.
+    """
+    postings = term_counts(docs, text, tokenizer)
     if path:
         postings.write.mode("overwrite").parquet(f"{path}/postings")
         postings = docs.sparkSession.read.parquet(f"{path}/postings")
+    else:
+        postings = cut_lineage(postings)
     n_docs = docs.agg(F.count("*")).scalar()
     stats = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")).withColumn("n_docs", n_docs).select(
         "n_docs", (F.col("total") / F.col("n_docs")).alias("avgdl"))
     # Terms combine inside each partition before their shuffle.
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn(
         "idf", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    return BM25Index(postings, terms, stats)
+    return BM25Index(postings, terms, stats, tokenizer)
 
 
-def bm25_scores(queries: DataFrame, index: BM25Index, lexicon: tuple[str, ...] = ()) -> DataFrame:
+def bm25_scores(queries: DataFrame, index: BM25Index, categories: DataFrame | None = None) -> DataFrame:
     """Positive BM25 scores -> (query_id, doc_id, score) for `queries(query_id, text)`.
 
+    With `categories(doc_id, category)` the queries carry a category too, and only documents of the same one are scored:
+    the category is part of the join with the postings. Statistics stay those of the whole corpus.
+
     Negative idf becomes epsilon times the mean idf over all terms; repeated query terms count again. The joins carry
     no hint: Spark broadcasts the smaller side where its size allows and splits hot terms otherwise.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"), lexicon)).alias("term")).groupBy(
-        "query_id", "term").agg(F.count("*").alias("qtf"))
+    within = ["category"] if categories is not None else []
+    asked = queries.select("query_id", *within, F.explode(index.tokenizer(F.col("text"))).alias("term")).groupBy(
+        "query_id", *within, "term").agg(F.count("*").alias("qtf"))
+    postings = index.postings if categories is None else index.postings.join(categories.select("doc_id", "category"), "doc_id")
     mean_idf = index.terms.select(F.avg("idf").alias("m")).scalar()
     weights = index.terms.select(
         "term", F.when(F.col("idf") < 0, BM25_EPSILON * mean_idf).otherwise(F.col("idf")).alias("idf"))
     avgdl = index.stats.select("avgdl").scalar()
-    matched = asked.join(weights, "term").join(index.postings, "term")
+    matched = asked.join(weights, "term").join(postings, ["term", *within])
     gain = F.col("tf") * (BM25_K1 + 1) / (
         F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avgdl))
     return matched.groupBy("query_id", "doc_id").agg(
         F.sum(F.col("qtf") * F.col("idf") * gain).alias("score")).filter(F.col("score") > 0)
 
 
-def bm25_topk(queries: DataFrame, index: BM25Index, k: int, lexicon: tuple[str, ...] = (),
-              category=None, categories: DataFrame | None = None) -> DataFrame:
+def bm25_topk(queries: DataFrame, index: BM25Index, k: int, category=None, categories: DataFrame | None = None) -> DataFrame:
     """BM25 top-k -> (query_id, doc_id, score, rank).
 
     A category (with `categories(doc_id, category)`) filters after scoring, so that the statistics stay those of the
     whole corpus.
     """
-    scored = bm25_scores(queries, index, lexicon)
+    scored = bm25_scores(queries, index)
     if category is not None:
         scored = scored.join(categories.filter(F.col("category") == F.lit(category)), "doc_id", "left_semi")
     return _hit_rank(scored, k)
@@ -340,13 +426,13 @@ def fused_similarity(channels: DataFrame, fused: DataFrame, weights: dict[str, f
         "similarity", half_up(clamp(value, 0.0, 1.0))).drop("ws", "w", "n")
 
 
-def rerank(candidates: DataFrame, k: int, min_sim: float = MIN_SIMILARITY, lexicon: tuple[str, ...] = ()) -> DataFrame:
+def rerank(candidates: DataFrame, k: int, min_sim: float = MIN_SIMILARITY, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """Explainable rerank of `(query_id, doc_id, pos, similarity, query_text, title, text)`.
 
     Coverage and title hits are shares of the distinct query tokens longer than one character. The first k are taken
     first and the threshold applied to them afterwards, so fewer than k rows may remain.
     """
-    asked = F.array_distinct(F.filter(tokens(F.col("query_text"), lexicon), lambda t: F.length(t) > 1))
+    asked = F.array_distinct(F.filter(tokenizer(F.col("query_text")), lambda t: F.length(t) > 1))
     whole = F.lower(F.concat_ws(" ", "title", "text"))
     head = F.lower(F.col("title"))
     n = F.greatest(F.lit(1), F.size("_asked"))
@@ -362,7 +448,7 @@ def rerank(candidates: DataFrame, k: int, min_sim: float = MIN_SIMILARITY, lexic
 
 
 def hybrid_search(queries: DataFrame, corpus: DataFrame, n: int, index: BM25Index | None = None,
-                  vectors: DataFrame | None = None, category=None) -> DataFrame:
+                  vectors: DataFrame | None = None, category=None, min_sim: float = MIN_SIMILARITY) -> DataFrame:
     """Both channels -> fusion -> similarity -> rerank.
 
     `queries(query_id, text[, embedding])`, `corpus(doc_id, title, text[, category])`. A missing channel (no index or
@@ -382,41 +468,51 @@ def hybrid_search(queries: DataFrame, corpus: DataFrame, n: int, index: BM25Inde
     for part in parts[1:]:
         channels = channels.unionByName(part)
     fused = fused_similarity(channels, rrf_fuse(channels, pool))
-    candidates = fused.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id").join(
-        corpus.select("doc_id", "title", "text"), "doc_id")
-    return rerank(candidates, n)
+    candidates = fused.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+    return rerank(fetch_texts(candidates, corpus), n, min_sim, index.tokenizer if index else WORDS)
 
 
-def retrieve_for_clauses(clauses: DataFrame, corpus: DataFrame, index: BM25Index, k: int = 3,
-                         min_hits: int = 2, query_chars: int = 200) -> DataFrame:
-    """References per document from its clauses `(doc_id, clause_id, title, content[, category])`.
+def fetch_texts(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
+    """`candidates` with title and text of their documents, without a shuffle of the corpus where the candidates are few.
+
+    The candidates are written first and counted; up to FETCH_ROWS of them are broadcast to the scan of the texts.
+    """
+    held = cut_lineage(candidates)
+    texts = corpus.select("doc_id", "title", "text")
+    return texts.join(F.broadcast(held) if held.count() <= FETCH_ROWS else held, "doc_id")
+
 
-    Each clause asks with its title and the head of its content, inside its category. A clause with a category and
-    fewer than `min_hits` hits asks again without it, its own hits first. Per document a reference is kept once, at
-    its first clause, ordered by similarity.
+def retrieve_for_clauses(clauses: DataFrame, corpus: DataFrame, index: BM25Index, k: int = 3,
+                         min_hits: int = 2, query_chars: int = 200, vectors: DataFrame | None = None,
+                         min_sim: float = MIN_SIMILARITY) -> DataFrame:
+    """References per document from its clauses `(doc_id, clause_id, title, content[, category, embedding])`.
+
+    Each clause asks with its title and the head of its content, inside its category; with `vectors(doc_id, embedding,
+    category)` its embedding asks as well. A clause with a category and fewer than `min_hits` hits, or without a category,
+    asks in the whole corpus, its own hits first. Per document a reference is kept once, at its first clause, ordered by
+    similarity.
     """
     asked = clauses.select(F.struct(F.col("doc_id").alias("d"), F.col("clause_id").alias("c")).alias("query_id"),
-                           F.concat_ws(" ", "title", F.substring("content", 1, query_chars)).alias("text"), "category")
-    plain = asked.drop("category")
+                           F.concat_ws(" ", "title", F.substring("content", 1, query_chars)).alias("text"), "category",
+                           *(["embedding"] if vectors is not None else []))
     pool = max(1, k * POOL_FACTOR)
-    # The category is a condition of each clause, not of the job: score once, cut per clause twice.
-    scored = bm25_scores(plain, index).join(
-        corpus.select("doc_id", F.col("category").alias("ref_category")), "doc_id").join(
-        asked.select("query_id", "category"), "query_id")
-    inside = scored.filter(F.col("category").isNull() | (F.col("category") == F.col("ref_category")))
-
-    def finish(hits: DataFrame) -> DataFrame:
-        channel = tag_channel(_hit_rank(hits.select("query_id", "doc_id", "score"), pool), "bm25", 1)
-        fused = fused_similarity(channel, rrf_fuse(channel, pool))
-        return rerank(fused.join(plain.withColumnRenamed("text", "query_text"), "query_id").join(
-            corpus.select("doc_id", "title", "text"), "doc_id"), k)
-
-    first = finish(inside).withColumn("attempt", F.lit(1))
+    texts = corpus.select("doc_id", "title", "text")
+
+    def attempt(some: DataFrame, number: int, inside: bool) -> DataFrame:
+        scored = bm25_scores(some, index, corpus.select("doc_id", "category") if inside else None)
+        channels = tag_channel(_hit_rank(scored, pool), "bm25", 1)
+        if vectors is not None:
+            near = (vectors_in_category(some, vectors, pool) if inside else vector_topk(some, vectors, pool))
+            channels = tag_channel(near, "vector", 0).unionByName(channels)
+            channels = cut_lineage(channels)
+        fused = fused_similarity(channels, rrf_fuse(channels, pool))
+        pairs = fused.join(some.select("query_id", F.col("text").alias("query_text")), "query_id").join(texts, "doc_id")
+        return rerank(pairs, k, min_sim, index.tokenizer).withColumn("attempt", F.lit(number))
+
+    first = cut_lineage(attempt(asked.filter("category IS NOT NULL"), 1, True))
     counts = first.groupBy("query_id").agg(F.count("*").alias("n"))
-    thin = asked.filter(F.col("category").isNotNull()).join(counts, "query_id", "left").filter(
-        F.coalesce(F.col("n"), F.lit(0)) < min_hits).select("query_id")
-    again = finish(scored.join(thin, "query_id", "left_semi")).withColumn("attempt", F.lit(2))
-    rows = first.unionByName(again).select(
+    thin = asked.join(counts, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < min_hits).drop("n")
+    rows = first.unionByName(attempt(thin, 2, False)).select(
         F.col("query_id.d").alias("doc_id"), F.col("query_id.c").alias("clause_id"), F.col("doc_id").alias("ref_id"),
         "similarity", "final_score", "attempt", "final_rank")
     kept = top_rows(rows, ("doc_id", "ref_id"), [F.col("clause_id"), F.col("attempt"), F.col("final_rank")], 1)
@@ -424,15 +520,25 @@ def retrieve_for_clauses(clauses: DataFrame, corpus: DataFrame, index: BM25Index
     return kept.withColumn("position", F.row_number().over(place).cast("long"))
 
 
+def vectors_in_category(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Cosine top-k of each query among the vectors of its own category: an equi join on the category, whose many
+    queries and vectors meet in tiles, not as rows."""
+    found = None
+    for row in vectors.select("category").distinct().toLocalIterator():
+        part = vector_topk(queries.filter(F.col("category") == F.lit(row.category)), vectors, k, row.category)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else vector_topk(queries.limit(0), vectors, k)
+
+
 def retrieve_for_questions(questions: DataFrame, corpus: DataFrame, index: BM25Index, intents, k: int = 4,
                            chitchat: str = "chitchat", skip_at: float = 0.6,
-                           vectors: DataFrame | None = None) -> DataFrame:
+                           vectors: DataFrame | None = None, min_sim: float = MIN_SIMILARITY) -> DataFrame:
     """References per question `(query_id, text[, embedding])`, by similarity; confident chit-chat asks nothing."""
     from docreview.operators.text import classify_intent
 
     asked = classify_intent(questions, intents).filter(
         ~((F.col("intent") == chitchat) & (F.col("confidence") >= skip_at))).drop("intent", "confidence", "adopted")
-    found = hybrid_search(asked, corpus, k, index, vectors)
+    found = hybrid_search(asked, corpus, k, index, vectors, min_sim=min_sim)
     place = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "final_rank")
     return found.withColumn("position", F.row_number().over(place).cast("long")).select(
         "query_id", F.col("doc_id").alias("ref_id"), "similarity", "final_score", "position")
@@ -446,7 +552,8 @@ def corpus_fingerprint(df: DataFrame, columns: list[str], buckets_hex: int = 2)
     Every row is hashed over all columns; a bucket adds the first and the second 15 hex digits of its hashes. Sums
     combine before the shuffle, so no task ever sees more than one running value per bucket.
     """
-    digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    row = F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))  # keeps nulls and the borders of values
+    digest = F.sha2(row, 256)
     lane = lambda start: F.sum(F.conv(F.substring("h", start, 15), 16, 10).cast("decimal(20,0)")).cast(
         "decimal(38,0)").cast("string")
     return df.select(digest.alias("h")).groupBy(F.substring("h", 1, buckets_hex).alias("bucket")).agg(
@@ -464,13 +571,6 @@ def index_drift(old: DataFrame, new: DataFrame) -> DataFrame:
         F.coalesce("new_n", F.lit(0)).cast("long").alias("new_rows"))
 
 
-def index_partition(signature: str) -> str:
-    """Name part of an index that belongs to one vector space."""
-    import hashlib
-
-    return hashlib.sha256(signature.encode()).hexdigest()[:8]
-
-
 def assemble_context(questions: DataFrame, refs: DataFrame, titles: DataFrame, reports: DataFrame, risks: DataFrame,
                      most: int = 6) -> DataFrame:
     """Material per question: its numbered references, and the head and first risks of the linked report.

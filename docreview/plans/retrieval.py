@@ -33,14 +33,17 @@ def bm25_sql(docs: str, asks: str, score: str = "sc") -> str:
          GROUP BY query_id, doc_id HAVING score > 0)"""
 
 
-def cut_sql(name: str, source: str, k: int, keys: str = "query_id") -> str:
+def cut_sql(name: str, source: str, k: int, keys: str = "query_id", clamped: bool = False) -> str:
+    score = CLAMPED.format("round(score, 4)") if clamped else "round(score, 4)"
     return f"""
-  {name} AS (SELECT query_id, doc_id, round(score, 4) AS score, rank FROM
+  {name} AS (SELECT query_id, doc_id, {score} AS score, rank FROM
     (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(score, 8) DESC, doc_id) AS rank FROM {source})
     WHERE rank <= {k})"""
 
 
-COSINE = "greatest(0.0, least(1.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
+COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+CLAMPED = "greatest(0.0, least(1.0, {}))"
+"""Applied after the ranking, which goes by the cosine itself."""
 
 CENTROIDS = """
   centroid AS (SELECT label, list(v ORDER BY pos) AS embedding FROM
@@ -73,7 +76,7 @@ def _(t):
 CENTROID_TOPK = f"""
 WITH {CENTROIDS},
   sc AS (SELECT a.label AS query_id, b.vec_id AS doc_id, {COSINE} AS score FROM centroid a, embeddings b),
-  {cut_sql('c', 'sc', 10)}
+  {cut_sql('c', 'sc', 10, clamped=True)}
 SELECT query_id, doc_id, score, rank FROM c"""
 
 
@@ -86,7 +89,7 @@ def _(t):
 WITH {CENTROIDS},
   sc AS (SELECT a.label AS query_id, b.vec_id AS doc_id, {COSINE} AS score FROM centroid a, embeddings b
          WHERE b.label = 3),
-  {cut_sql('c', 'sc', 5)}
+  {cut_sql('c', 'sc', 5, clamped=True)}
 SELECT query_id, doc_id, score, rank FROM c""")
 def _(t):
     return R.vector_topk(_centroids(t), _vectors(t), 5, category=3)
@@ -102,9 +105,36 @@ def _(t):
     return R.ivf_topk(_centroids(t), R.build_cells(_vectors(t), nlist=16), 10, nprobe=16)
 
 
-@plan("r03_ivf_topk")
+OPPOSED = f"""
+WITH {CENTROIDS}, q AS (SELECT label, list_transform(embedding, lambda x: -x) AS embedding FROM centroid),
+  sc AS (SELECT a.label AS query_id, b.vec_id AS doc_id, {COSINE} AS score FROM q a, embeddings b WHERE b.label <> 3),
+  {cut_sql('c', 'sc', 200, clamped=True)}
+SELECT query_id, doc_id, score, rank FROM c"""
+
+
+def _opposed(t) -> DataFrame:
+    return _centroids(t).withColumn("embedding", F.transform("embedding", lambda x: -x))
+
+
+@plan("r02_vector_topk_opposed", OPPOSED)
 def _(t):
-    return R.ivf_topk(_centroids(t), R.build_cells(_vectors(t), nlist=16), 10, nprobe=6)
+    return R.vector_topk(_opposed(t), _vectors(t).filter("category <> 3"), 200)
+
+
+@plan("r02_vector_topk_opposed_by_cells", OPPOSED)
+def _(t):
+    return R.cells_topk(_opposed(t), R.build_cells(_vectors(t).filter("category <> 3"), nlist=16), 200)
+
+
+@plan("r03_ivf_topk", "SELECT DISTINCT label AS query_id, true AS enough FROM embeddings")
+def _(t):
+    """Recall of the approximate search: at least half of the ten nearest for each query, nine tenths on the whole."""
+    near = R.ivf_topk(_centroids(t), R.build_cells(_vectors(t)), 10, nprobe=8).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    exact = R.vector_topk(_centroids(t), _vectors(t), 10).select("query_id", "doc_id")
+    per_query = exact.join(near, ["query_id", "doc_id"], "left").groupBy("query_id").agg(
+        F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    overall = per_query.agg(F.avg("recall")).scalar()
+    return per_query.select("query_id", ((F.col("recall") >= 0.5) & (overall >= 0.9)).alias("enough"))
 
 
 def _docs(t) -> DataFrame:
@@ -147,6 +177,17 @@ def bm25_top5(t):
     return R.bm25_topk(_asks(t), R.bm25_index(_docs(t)), 5)
 
 
+PAIRS = """flatten(list_transform(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), lambda w: CASE WHEN length(w) < 2 THEN [w]
+  ELSE list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) END))"""
+
+
+@plan("r05_bm25_topk_bigrams", f"""
+WITH {bm25_sql('documents', ASKS).replace(TOK.format('text'), PAIRS.format('text'))}, {cut_sql('c', 'sc', 5)}
+SELECT query_id, doc_id, score, rank FROM c""")
+def _(t):
+    return R.bm25_topk(_asks(t), R.bm25_index(_docs(t), tokenizer=R.Tokenizer(bigrams=True)), 5)
+
+
 @plan("r05_bm25_topk_in_category", f"""
 WITH {bm25_sql('documents', ASKS)},
   f AS (SELECT sc.* FROM sc WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')), {cut_sql('c', 'f', 5)}
@@ -161,7 +202,7 @@ POOL = 15
 CHANNELS = f"""
   vs AS (SELECT i.item_id AS query_id, b.vec_id AS doc_id, {COSINE} AS score
          FROM benchmark i JOIN embeddings a ON a.vec_id = i.item_id, embeddings b),
-  {cut_sql('vc', 'vs', POOL)},
+  {cut_sql('vc', 'vs', POOL, clamped=True)},
   {bm25_sql('documents', ASKS)}, {cut_sql('bc', 'sc', POOL)},
   ch AS (SELECT *, 'vector' AS channel, 0 AS priority FROM vc UNION ALL
          SELECT *, 'bm25' AS channel, 1 AS priority FROM bc)"""
@@ -310,11 +351,11 @@ def _(t):
 
 
 def _question_key():
-    return (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id")
+    return F.concat_ws("/", "conv_id", "turn").alias("query_id")
 
 
 QUESTIONS = f"""
-  question AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'
+  question AS (SELECT conv_id || '/' || turn AS query_id, text FROM conversations WHERE role = 'user'
      AND NOT ({latin.intent_is_sql('text', 'chitchat', 0.6)}))"""
 
 
@@ -335,7 +376,7 @@ def _(t):
 def finger_sql(columns: str, source: str) -> str:
     lane = lambda a: f"sum(('0x' || substr(h, {a}, 15))::BIGINT)::VARCHAR"
     return f"""(SELECT left(h, 2) AS bucket, count(*) AS n_rows, {lane(1)} AS lane1, {lane(16)} AS lane2 FROM
-    (SELECT sha256(concat_ws('|', {columns})) AS h FROM {source}) GROUP BY 1)"""
+    (SELECT sha256(to_json([{', '.join(f'{c}::VARCHAR' for c in columns.split(', '))}])) AS h FROM {source}) GROUP BY 1)"""
 
 
 PART_KEYS = ["p_partkey", "p_name", "p_brand", "p_type"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -13,32 +14,36 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    # GB-family charsets are only decodable with the JVM charset table.
-    "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """A session with the library's defaults; cluster settings given at submit time win."""
+    """A session with the library's defaults; settings given here or at submit time win over the defaults."""
     builder = SparkSession.builder.appName("docreview")
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in {**DEFAULTS, **conf}.items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
+    given = SparkConf()  # what spark-submit was told
+    for key, value in DEFAULTS.items():
+        if key not in conf and not given.contains(key):
+            builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the one the cluster names, a private one only where none is set."""
+    """The shared folder that `spark.checkpoint.dir` names; a private one only in local mode, where all tasks see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="docreview-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
