@@ -134,10 +134,10 @@ def approval_queue(tasks: DataFrame, contracts: DataFrame, user, role: str, stat
         out = out.filter(F.col("contract_id") == contract)
     elif role not in PRIVILEGED:
         out = out.filter(F.col("requester_id") == user)
-    info = contracts.select("contract_id", F.col("text").alias("_text"), F.col("status").alias("contract_status"),
+    info = contracts.select("contract_id", F.substring("text", 1, preview).alias("_text"), F.col("status").alias("contract_status"),
                             F.lit(True).alias("_known"))
     return out.join(info, "contract_id", "left").withColumn(
-        "contract_preview", F.when(F.col("_known"), F.substring(F.coalesce("_text", F.lit("")), 1, preview)).otherwise(
+        "contract_preview", F.when(F.col("_known"), F.coalesce("_text", F.lit(""))).otherwise(
             fallback)).withColumn("can_decide", F.lit(role in PRIVILEGED)).drop("_text", "_known")
 
 

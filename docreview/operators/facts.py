@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docreview.functions.scalars import clamp, exact_round, let, occurrences, strip
-from docreview.packs.latin import FactRule
 
 PRESENT, MISSING, CONTRADICTED = "present", "missing", "contradicted"
 
@@ -36,7 +35,7 @@ def detect_contradiction(text: Column, patterns: Sequence[str]) -> Column:
     return F.coalesce(first_match(text, patterns)["whole"], F.lit(""))
 
 
-def extract_facts(df: DataFrame, rule_sets: dict[str, Sequence[FactRule]],
+def extract_facts(df: DataFrame, rule_sets: dict[str, Sequence[dict]],
                   contradictions: dict[str, Sequence[str]] | None = None, text: str = "text") -> DataFrame:
     """`df(doc_id, text, rule_set)` -> one row per document and rule of its set.
 
@@ -45,13 +44,13 @@ def extract_facts(df: DataFrame, rule_sets: dict[str, Sequence[FactRule]],
     contradictions = contradictions or {}
     body = F.col(text)
 
-    def fact(rule: FactRule, ord_: int) -> Column:
-        cut = let(first_match(body, rule.patterns), lambda m: F.struct(
+    def fact(rule: dict, ord_: int) -> Column:
+        cut = let(first_match(body, rule["find"]), lambda m: F.struct(
             strip(m["whole"]).alias("found"), strip(m["grp"]).alias("inner")))
         return let(cut, lambda m: F.struct(
-            F.lit(ord_).cast("long").alias("ord"), F.lit(rule.key).alias("key"), F.lit(rule.required).alias("required"),
+            F.lit(ord_).cast("long").alias("ord"), F.lit(rule["fact"]).alias("key"), F.lit(rule["must"]).alias("required"),
             m["found"].alias("found"), m["inner"].alias("inner"), (occurrences(body, m["found"]) > 1).alias("again"),
-            detect_contradiction(body, contradictions.get(rule.key, ())).alias("counter_phrase")))
+            detect_contradiction(body, contradictions.get(rule["fact"], ())).alias("counter_phrase")))
 
     by_set = F.lit(None)
     for name, rules in rule_sets.items():
@@ -79,7 +78,7 @@ def refine_facts(facts: DataFrame) -> DataFrame:
         "confidence": F.when(against, F.greatest("confidence", F.lit(0.92))).otherwise(F.col("confidence"))})
 
 
-def missing_clauses(facts: DataFrame, rule_sets: dict[str, Sequence[FactRule]], critical: Sequence[str],
+def missing_clauses(facts: DataFrame, rule_sets: dict[str, Sequence[dict]], critical: Sequence[str],
                     default_reason: str = "The required clause was not found.",
                     default_text: str = "Add this clause.") -> DataFrame:
     """Gaps: required facts that are missing or contradicted, with level, score, reason and suggestion."""
@@ -91,18 +90,18 @@ def missing_clauses(facts: DataFrame, rule_sets: dict[str, Sequence[FactRule]],
         value = F.lit(default)
         for name, rules in rule_sets.items():
             for rule in rules:
-                value = F.when((F.col("rule_set") == name) & (F.col("key") == rule.key), getattr(rule, field) or default
+                value = F.when((F.col("rule_set") == name) & (F.col("key") == rule["fact"]), rule["gap"].get(field) or default
                                ).otherwise(value)
         return value
 
-    reason = from_rule("reason", default_reason)
+    reason = from_rule("why", default_reason)
     return gap.select(
-        "doc_id", "rule_set", "ord", "key", from_rule("label", "").alias("label"),
+        "doc_id", "rule_set", "ord", "key", from_rule("title", "").alias("label"),
         F.when(against | grave, "high").otherwise("medium").alias("level"),
         F.when(against, 10).when(grave, 20).otherwise(30).cast("long").alias("score"),
         F.when(against, F.concat(F.lit("Counter phrase found: "), "contradiction", F.lit(". "), reason)).otherwise(
             reason).alias("reason"),
-        from_rule("basis", "").alias("legal_basis"), from_rule("suggestion", default_text).alias("suggested_text"))
+        from_rule("law", "").alias("legal_basis"), from_rule("add", default_text).alias("suggested_text"))
 
 
 def coverage_score(facts: DataFrame) -> DataFrame:

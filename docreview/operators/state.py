@@ -182,7 +182,7 @@ def last_runs(runs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
 
 
 def recall_hints(requests: DataFrame, summary: DataFrame, categories: DataFrame, verdicts: DataFrame, profiles: DataFrame,
-                 most: int = 8, listed: int = 20) -> DataFrame:
+                 most: int = 8) -> DataFrame:
     """Hints (request_id, pos, hint) for `requests(request_id, user_id, type)`.
 
     A type seen twice or more gives its top three categories and mean score; categories with three or more verdicts and
@@ -193,8 +193,8 @@ def recall_hints(requests: DataFrame, summary: DataFrame, categories: DataFrame,
                     lambda x: F.concat(x["category"], F.lit("("), x["n"].cast("string"), F.lit(")"))), ", ").alias("top"))
     judged = verdicts.filter(F.col("verdict").isin("false_positive", "accepted")).groupBy("category").agg(
         F.count("*").alias("n"), ratio(F.count_if(F.col("verdict") == "false_positive"), F.count("*"), 8).alias("share"))
-    # At most `listed` categories, so the warnings travel as one small array.
-    flagged = judged.filter((F.col("n") >= 3) & (F.col("share") >= 0.3)).orderBy("category").limit(listed).agg(
+    # No row shows more than `most` hints, so that many warnings travel as one small array.
+    flagged = judged.filter((F.col("n") >= 3) & (F.col("share") >= 0.3)).orderBy("category").limit(most).agg(
         F.sort_array(F.collect_list(F.concat(F.lit("often wrong: "), "category"))).alias("c")).scalar()
     known = F.col("n_runs") >= 2
     user_type = profiles.select("user_id", F.col("type").alias("last_type"))

@@ -83,7 +83,7 @@ def score_table_continuation(blocks: DataFrame, regions: bool = False, titles: b
     """Last table of a page against the first of the next: (doc_id, page, score, header_repeat), guards applied.
 
     With `regions` the blocks carry box columns (x0, y0, x1, y1, page_width, page_height). `titles` compares the
-    titles with difflib over Arrow batches, for those few pairs only.
+    titles by their shared letter pairs.
     """
     box = ["x0", "y0", "x1", "y1", "page_width", "page_height"] if regions else []
     keep = ["rows", "n_cols", "title", *box]
@@ -110,9 +110,9 @@ def score_table_continuation(blocks: DataFrame, regions: bool = False, titles: b
         score = score + F.when(both & bottom & top, 0.2 + F.when(aligned, 0.15).otherwise(0.0)).when(
             both & inside, -0.2).otherwise(0.0)
     if titles:
-        from docreview.operators.evaluation import similarity_ratio
+        from docreview.operators.evaluation import letter_pairs, pair_similarity
 
-        pair = pair.withColumn("_alike", similarity_ratio(F.col("a.title"), F.col("b.title")))
+        pair = pair.withColumn("_alike", pair_similarity(letter_pairs(F.col("a.title")), letter_pairs(F.col("b.title"))))
         score = score + F.when((F.col("a.title") != "") & (F.col("b.title") != ""), F.when(
             F.col("_alike") >= 0.6, 0.15).otherwise(-0.25)).otherwise(0.0)
     return pair.withColumn("score", half_up(score)).select("doc_id", "page", "score", "header_repeat",

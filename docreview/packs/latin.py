@@ -5,7 +5,7 @@ The word choices fit the test tables; category names and weights live in `docrev
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from docreview.functions.scalars import keyword_pattern
 
 # Category -> words; the first category with a word in the text wins, else "general".
 CATEGORY_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -68,31 +68,27 @@ RULE_SET_MARKERS: tuple[tuple[str, tuple[str, ...]], ...] = (
 DEFAULT_RULE_SET = "general"
 
 
-@dataclass(frozen=True)
-class FactRule:
-    key: str
-    label: str
-    patterns: tuple[str, ...]
-    required: bool = True
-    basis: str = ""
-    suggestion: str = ""
-    reason: str = ""
-
-
-_CONTACT = FactRule("contact", "Contact address", (r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", r"\+1 ?\(?(\d{3})"),
-                    True, "Notice rules, s. 1", "State an address for notices.", "No address for notices was found.")
-_LICENSE = FactRule("license", "Licence", (r"[Ll]icensed under ([^\n,.]+)", r"GNU General Public"), True,
-                    "Licence rules, s. 2", "Name the licence and its version.", "The terms of use are open.")
-_SECRET = FactRule("credential", "Credential", (r'token = "([0-9a-f]{8})',), False, "Security rules, s. 4",
-                   "Remove credentials from the text.", "A credential may be exposed.")
-_PARTY = FactRule("party_a", "First party", (r"\n(Th[a-z]{4,12}) ", r"(Éa[a-zé]{3,12}) ", r"Cion"), True, "Form rules, s. 1",
-                  "Name the first party in full.", "The first party is not named.")
-_TERM = FactRule("term", "Term", (r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})", r"\d{7,}"), True, "Form rules, s. 3",
-                 "State start and end.", "The term is open.")
-_SCOPE = FactRule("scope", "Scope", (r"([a-z]{5,20}) \| ", r" (?:thea|threa)[a-z]+", r"para "), False, "Form rules, s. 5",
-                  "List the scope.", "The scope is open.")
-
-RULE_SETS: dict[str, tuple[FactRule, ...]] = {
+# A rule says what to find for a fact, whether it must be there, and what a gap report says.
+_CONTACT = {
+    "fact": "contact", "must": True, "find": (r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", r"\+1 ?\(?(\d{3})"),
+    "gap": {"title": "Contact address", "why": "No address for notices was found.", "law": "Notice rules, s. 1", "add": "State an address for notices."}}
+_LICENSE = {
+    "fact": "license", "must": True, "find": (r"[Ll]icensed under ([^\n,.]+)", r"GNU General Public"),
+    "gap": {"title": "Licence", "why": "The terms of use are open.", "law": "Licence rules, s. 2", "add": "Name the licence and its version."}}
+_SECRET = {
+    "fact": "credential", "must": False, "find": (r'token = "([0-9a-f]{8})',),
+    "gap": {"title": "Credential", "why": "A credential may be exposed.", "law": "Security rules, s. 4", "add": "Remove credentials from the text."}}
+_PARTY = {
+    "fact": "party_a", "must": True, "find": (r"\n(Th[a-z]{4,12}) ", r"(Éa[a-zé]{3,12}) ", r"Cion"),
+    "gap": {"title": "First party", "why": "The first party is not named.", "law": "Form rules, s. 1", "add": "Name the first party in full."}}
+_TERM = {
+    "fact": "term", "must": True, "find": (r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})", r"\d{7,}"),
+    "gap": {"title": "Term", "why": "The term is open.", "law": "Form rules, s. 3", "add": "State start and end."}}
+_SCOPE = {
+    "fact": "scope", "must": False, "find": (r"([a-z]{5,20}) \| ", r" (?:thea|threa)[a-z]+", r"para "),
+    "gap": {"title": "Scope", "why": "The scope is open.", "law": "Form rules, s. 5", "add": "List the scope."}}
+
+RULE_SETS: dict[str, tuple[dict, ...]] = {
     "general": (_PARTY, _TERM, _SCOPE, _CONTACT),
     "licensed": (_PARTY, _LICENSE, _CONTACT),
     "tabular": (_SCOPE, _TERM, _SECRET),
@@ -153,11 +149,6 @@ def hit_count_sql(column: str, words: tuple[str, ...]) -> str:
     return "(" + " + ".join(f"contains({column}, {quote(w)})::INTEGER" for w in words) + ")"
 
 
-def keyword_pattern(word: str) -> str:
-    """ASCII keywords match whole words without regard to case, others anywhere."""
-    return rf"(?i)(^|[^\p{{L}}\p{{N}}_]){word}($|[^\p{{L}}\p{{N}}_])"
-
-
 def intent_hits_sql(column: str, words: tuple[str, ...]) -> str:
     tests = [f"regexp_matches({column}, {quote(keyword_pattern(w))})" if w.isascii() else f"contains({column}, {quote(w)})"
              for w in words]

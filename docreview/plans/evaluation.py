@@ -13,6 +13,7 @@ from docreview.packs import fixed, latin
 from docreview.plans import retrieval as PR
 from docreview.plans import review as PV
 from docreview.plans.registry import plan
+from docreview.session import cut_lineage
 
 DEPTH = 5
 LABELED = "(SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"
@@ -51,6 +52,9 @@ def _(t):
 # Golden risks: the first clause of each category of a labelled document. Predictions: every categorised clause but
 # the first line, of all documents.
 HIGH = ("non_compete", "probation_insurance", "training_bond")
+PAIRS = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
+DICE = f"""2 * len(list_intersect({PAIRS.format('trim(g.snippet)')}, {PAIRS.format('trim(p.clause)')}))
+  / greatest(1, len({PAIRS.format('trim(g.snippet)')}) + len({PAIRS.format('trim(p.clause)')})) >= 0.55"""
 GOLD = f"""{PV.CLAUSES},
   cases AS (SELECT doc_id AS case_id, lang AS grp, quality, toxic FROM labels JOIN documents USING (doc_id)),
   gold AS (SELECT doc_id AS case_id, clause_id AS pos, primary_category AS category,
@@ -63,7 +67,7 @@ GOLD = f"""{PV.CLAUSES},
   match AS (SELECT g.case_id, g.pos, g.category, g.level, g.required, p.pos AS pred_pos, p.level AS pred_level FROM gold g
     LEFT JOIN (SELECT g.case_id, g.pos AS gpos, p.pos, p.level, row_number() OVER (PARTITION BY g.case_id, g.pos ORDER BY p.pos) AS rn
        FROM gold g JOIN pred p ON g.case_id = p.case_id AND g.category = p.category
-         AND (contains(p.clause, trim(g.snippet)) OR contains(trim(g.snippet), p.clause))) p
+         AND (contains(p.clause, trim(g.snippet)) OR contains(trim(g.snippet), p.clause) OR ({DICE}))) p
       ON p.case_id = g.case_id AND p.gpos = g.pos AND rn = 1),
   cm AS (SELECT case_id, grp, count(m.pred_pos) AS tp,
       (SELECT count(*) FROM pred p WHERE p.case_id = c.case_id) - count(m.pred_pos) AS fp,
@@ -77,34 +81,41 @@ def _cases(t) -> DataFrame:
         F.col("doc_id").alias("case_id"), F.col("lang").alias("grp"), "quality", "toxic")
 
 
-def _gold(t) -> DataFrame:
+def _gold(t, clauses: DataFrame | None = None) -> DataFrame:
     c = F.col("primary_category")
-    clauses = PV.categorized(t).filter(c.isNotNull()).join(_cases(t).withColumnRenamed("case_id", "doc_id"), "doc_id")
+    clauses = PV.categorized(t).filter(c.isNotNull()) if clauses is None else clauses
+    clauses = clauses.join(_cases(t).withColumnRenamed("case_id", "doc_id"), "doc_id")
     first = top_rows(clauses, ("doc_id", "primary_category"), [F.col("clause_id")], 1)
     return first.select(F.col("doc_id").alias("case_id"), F.col("clause_id").alias("pos"), c.alias("category"),
                         F.when(c.isin(*HIGH), "high").otherwise("medium").alias("level"),
                         F.substring("content", 1, 40).alias("snippet"), (F.col("quality") == 1).alias("required"))
 
 
-def _pred(t) -> DataFrame:
+def _pred(t, clauses: DataFrame | None = None) -> DataFrame:
     c = F.col("primary_category")
-    return PV.categorized(t).filter(c.isNotNull() & (F.col("clause_id") > 1)).select(
+    clauses = PV.categorized(t) if clauses is None else clauses
+    return clauses.filter(c.isNotNull() & (F.col("clause_id") > 1)).select(
         F.col("doc_id").alias("case_id"), F.col("clause_id").alias("pos"), c.alias("category"),
         F.when(F.length("content") > 250, "high").otherwise("medium").alias("level"), F.col("content").alias("clause"))
 
 
-def _matches(t) -> DataFrame:
-    return E.match_risks(_gold(t), _pred(t).join(_cases(t).select("case_id"), "case_id", "left_semi"), None)
+def _matches(t, min_similarity: float | None = E.SNIPPET_SIMILARITY) -> DataFrame:
+    """Clauses of the labelled documents only, cut and categorised once for both sides."""
+    c = F.col("primary_category")
+    labelled = t.labels.select("doc_id").distinct()
+    clauses = cut_lineage(PV.categorized(t, t.documents.join(labelled, "doc_id", "left_semi")).filter(c.isNotNull()).select(
+        "doc_id", "clause_id", "primary_category", "content"))
+    return E.match_risks(_gold(t, clauses), _pred(t, clauses), min_similarity)
 
 
-@plan("e02_match_risks", f"WITH {GOLD} SELECT * FROM match")
+@plan("e02_match_risks", f"WITH {GOLD.replace(f' OR ({DICE})', '')} SELECT * FROM match")
 def _(t):
-    return _matches(t)
+    return _matches(t, None)
 
 
-@plan("e02_match_risks_fuzzy")
+@plan("e02_match_risks_fuzzy", f"WITH {GOLD} SELECT * FROM match")
 def _(t):
-    return E.match_risks(_gold(t), _pred(t).join(_cases(t).select("case_id"), "case_id", "left_semi"))
+    return _matches(t)
 
 
 PRF = """round(CASE WHEN {p}tp + {p}fp = 0 THEN 0 ELSE {p}tp / ({p}tp + {p}fp) END + 1e-9, 4) AS {p}precision,

@@ -80,7 +80,17 @@ def _(t):
     return B.score_table_continuation(B.detect_table_blocks(_rows(t)), titles=False)
 
 
-@plan("b03_score_with_titles")
+def _pairs_sql(c: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({c})), lambda i: substr({c}, i, 2)))"
+
+
+TITLED = LINKS.replace("pr AS (SELECT b.doc_id,", f"""pr AS (SELECT CASE WHEN a.title <> '' AND b.title <> '' THEN CASE WHEN
+     2 * len(list_intersect({_pairs_sql('a.title')}, {_pairs_sql('b.title')})) / greatest(1, len({_pairs_sql('a.title')}) + len({_pairs_sql('b.title')})) >= 0.6
+     THEN 0.15 ELSE -0.25 END ELSE 0 END AS ti, b.doc_id,""").replace("AS j, ac, bc, tr FROM pr", "AS j, ac, bc, tr, ti FROM pr").replace(
+    "+ CASE WHEN tr THEN 0.3 ELSE 0 END, 4)", "+ CASE WHEN tr THEN 0.3 ELSE 0 END + ti + 1e-9, 4)")
+
+
+@plan("b03_score_with_titles", f"WITH {TITLED} SELECT * FROM link")
 def _(t):
     return B.score_table_continuation(B.detect_table_blocks(_rows(t)))
 
@@ -137,7 +147,38 @@ def _(t):
         "doc_id", "page", F.col("i").cast("long").alias("column_no"), F.round("c.lo", 4).alias("lo"), F.round("c.hi", 4).alias("hi"))
 
 
-@plan("b05_detect_columns")
+def _level_sql(k: int) -> str:
+    """Halves the spans of level k - 1; a node's halves are 2n and 2n + 1."""
+    span = "PARTITION BY doc_id, node"
+    return f"""
+  a{k} AS (SELECT *, greatest(lo, x0) AS l, least(hi, x1) AS r FROM n{k - 1}),
+  b{k} AS (SELECT *, greatest(lo, coalesce(max(r) OVER ({span} ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo)) AS s,
+     greatest(lo, max(r) OVER ({span})) AS z FROM a{k}),
+  c{k} AS (SELECT doc_id, node, arg_max((s + e) / 2, (w, -s)) AS mid, max(w) AS w FROM (SELECT doc_id, node, s, l AS e, l - s AS w FROM b{k} UNION ALL
+     SELECT doc_id, node, z, hi, hi - z FROM b{k}) GROUP BY doc_id, node),
+  d{k} AS (SELECT b{k}.*, mid, ((x0 + x1) / 2 > mid)::INTEGER AS far, w / (hi - lo) >= 0.08 AS wide FROM b{k} JOIN c{k} USING (doc_id, node)),
+  e{k} AS (SELECT *, wide AND sum(far) OVER ({span}) BETWEEN 1 AND count(*) OVER ({span}) - 1 AS cut FROM d{k}),
+  n{k} AS (SELECT doc_id, x0, x1, CASE WHEN cut THEN 2 * node + far ELSE node END AS node, CASE WHEN cut AND far = 1 THEN mid ELSE lo END AS lo,
+     CASE WHEN cut AND far = 0 THEN mid ELSE hi END AS hi FROM e{k})"""
+
+
+def _fold_sql(k: int) -> str:
+    """Columns of the parents of level k; v{k - 1} from v{k}."""
+    first, last = 2 ** k, 2 ** (k + 1)
+    return f"""
+  u{k} AS (SELECT doc_id, node // 2 AS node, min(lo) AS lo, max(hi) AS hi, flatten(list(cols ORDER BY lo)) AS cols FROM v{k} WHERE node >= {first} AND node < {last} GROUP BY ALL),
+  w{k} AS (SELECT *, list_filter(cols, lambda c: c.hi - c.lo >= 0.1 * (hi - lo)) AS kept FROM u{k}),
+  v{k - 1} AS (SELECT doc_id, node, lo, hi, CASE WHEN len(kept) > 1 THEN kept ELSE [{{'lo': lo, 'hi': hi}}] END AS cols FROM w{k} UNION ALL
+     SELECT doc_id, node, lo, hi, cols FROM v{k} WHERE node < {first})"""
+
+
+FOUR_COLUMNS = f"""
+  n0 AS (SELECT doc_id, x0, x1, 1 AS node, 0.0::DOUBLE AS lo, {WIDTH}::DOUBLE AS hi FROM {BOXES}),{_level_sql(1)},{_level_sql(2)},{_level_sql(3)},
+  v3 AS (SELECT DISTINCT doc_id, node, lo, hi, [{{'lo': lo, 'hi': hi}}] AS cols FROM n3),{_fold_sql(3)},{_fold_sql(2)},{_fold_sql(1)}"""
+
+
+@plan("b05_detect_columns", f"""WITH {FOUR_COLUMNS} SELECT doc_id, 0 AS page, (i - 1)::BIGINT AS column_no, round(c.lo, 4) AS lo, round(c.hi, 4) AS hi
+FROM (SELECT doc_id, unnest(cols) AS c, generate_subscripts(cols, 1) AS i FROM v0)""")
 def _(t):
     return L.detect_columns(_boxes(t)).select("doc_id", "page", F.posexplode("columns").alias("i", "c")).select(
         "doc_id", "page", F.col("i").cast("long").alias("column_no"), F.round("c.lo", 4).alias("lo"), F.round("c.hi", 4).alias("hi"))

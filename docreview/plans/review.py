@@ -35,10 +35,10 @@ def _rule_rows() -> str:
     parts = []
     for name, rules in latin.RULE_SETS.items():
         for i, r in enumerate(rules):
-            whole, group = _first_sql(r.patterns)
-            counter, _ = _first_sql(latin.CONTRADICTIONS.get(r.key, ()))
-            parts.append(f"""SELECT doc_id, text, rule_set, {i}::BIGINT AS ord, {quote(r.key)} AS key, {r.required} AS required,
-  {quote(r.label)} AS label, {quote(r.basis)} AS basis, {quote(r.suggestion)} AS suggestion, {quote(r.reason)} AS reason,
+            whole, group = _first_sql(r["find"])
+            counter, _ = _first_sql(latin.CONTRADICTIONS.get(r["fact"], ()))
+            parts.append(f"""SELECT doc_id, text, rule_set, {i}::BIGINT AS ord, {quote(r["fact"])} AS key, {r["must"]} AS required,
+  {quote(r["gap"]["title"])} AS label, {quote(r["gap"]["law"])} AS basis, {quote(r["gap"]["add"])} AS suggestion, {quote(r["gap"]["why"])} AS reason,
   ({whole})::VARCHAR AS whole, ({group})::VARCHAR AS grp, coalesce(({counter})::VARCHAR, '') AS counter_phrase
   FROM typed WHERE rule_set = {quote(name)}""")
     return " UNION ALL ".join(parts)
@@ -130,8 +130,8 @@ SCORES = f"""{CLAUSES},
       ELSE 'safe' END AS level FROM scored)"""
 
 
-def categorized(t) -> DataFrame:
-    return X.categorize_clauses(X.split_clauses(t.documents, "\n"), latin.CATEGORY_RULES)
+def categorized(t, documents: DataFrame | None = None, keep=()) -> DataFrame:
+    return X.categorize_clauses(X.split_clauses(t.documents if documents is None else documents, "\n", keep=keep), latin.CATEGORY_RULES)
 
 
 @plan("f07_review_documents", f"""WITH {FACTS}, {SCORES},
@@ -193,14 +193,15 @@ def _risks(t) -> tuple[DataFrame, DataFrame]:
     basis = F.when(c.isin("obedience_clause", "non_compete"), " ").when(c == "job_description", "《Work Code》").when(
         c == "training_bond", "《Work Code 2012》第十二条").when(c == "resignation", "see 《Work》第一百零三条").otherwise(
         F.concat(F.lit("《Work Code》第"), F.length("source").cast("string"), F.lit("条")))
-    clauses = categorized(t).filter(c.isNotNull()).join(t.documents.select("doc_id", "source"), "doc_id")
-    risks = clauses.select(
+    clauses = categorized(t, keep=("source", "text")).filter(c.isNotNull())
+    quote = F.when(c == "jurisdiction", F.concat("content", F.lit(" (edited)"))).when(c == "leave_rights", "").otherwise(F.col("content"))
+    # The quote is looked up where the clause was cut, so no text has to follow its risks.
+    risks = clauses.withColumn("original_clause", quote).withColumn("quoted", K.quoted(F.col("text"))).select(
         "doc_id", F.col("clause_id").alias("risk_id"), c.alias("category"), "title",
         F.when(c.isin("non_compete", "probation_insurance"), "high").when(c == "job_description", "low").otherwise(
             "medium").alias("level"),
         (F.length("content") - F.length(F.replace("content", F.lit("e"), F.lit("")))).cast("long").alias("score"),
-        F.when(c == "jurisdiction", F.concat("content", F.lit(" (edited)"))).when(c == "leave_rights", "").otherwise(
-            F.col("content")).alias("original_clause"), basis.alias("legal_basis"))
+        "original_clause", basis.alias("legal_basis"), "quoted")
     lang = F.col("lang")
     refs = t.documents.select("doc_id", F.lit("《Work Code》").alias("law_name"), F.when(lang == "en", "第4条").when(
         lang == "fr", "第十二条").when(lang == "de", "第103条").otherwise("第五条").alias("article"))

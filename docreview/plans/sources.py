@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from docreview.packs import latin
 from docreview.plans import review as PV
@@ -23,9 +25,14 @@ def _scratch(t, name: str) -> str:
     return f"{checkpoint_root(t.spark)}/docreview-{name}-{uuid.uuid4().hex}"
 
 
-@plan("s01_decode_text")
+def _gb_bytes(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else x.encode("gb18030"))
+
+
+@plan("s01_decode_text", "SELECT doc_id, length(text) AS n_chars, md5(text) AS text_md5 FROM documents")
 def _(t):
-    raw = F.when(F.col("lang") == "fr", F.encode("text", "ISO-8859-1")).when(F.col("lang") == "es", F.concat(
+    """French texts as GB18030, Spanish ones with a mark, the others as plain UTF-8: all come back as they were."""
+    raw = F.when(F.col("lang") == "fr", F.pandas_udf(_gb_bytes, BinaryType())("text")).when(F.col("lang") == "es", F.concat(
         F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
     return t.documents.select("doc_id", SF.decode_text(raw).alias("text")).select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
@@ -86,9 +93,12 @@ def _trim_sql(column: str) -> str:
     return f"regexp_replace({column}, '^{SP}+|{SP}+$', '', 'g')"
 
 
+TITLE = "regexp_extract(b, '(?is)<title[^>]*>(.*?)</title', 1)"
+
+
 @plan("s04_html_to_text", f"""
 WITH a AS (SELECT page_id, {_skip_sql("regexp_replace(html, '(?is)<!--.*?-->', chr(2), 'g')")} AS b FROM pages),
-  c AS (SELECT page_id, left({_trim_sql(f"regexp_replace({_entities_sql(chr(114) + 'egexp_extract(b, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title' + chr(39) + ', 1)')}, '{SP}+', ' ', 'g')")}, 200) AS title,
+  c AS (SELECT page_id, left({_trim_sql(f"regexp_replace({_entities_sql(TITLE)}, '{SP}+', ' ', 'g')")}, 200) AS title,
     regexp_replace(regexp_replace(regexp_replace(b, '(?is)<title[^>]*>.*?</title\\s*>', chr(2), 'g'),
       '(?i)</?(?:{'|'.join(SH.BLOCKS)})(?:[\\s/][^>]*)?>', chr(1), 'g'), '<[^>]*>', chr(2), 'g') AS b FROM a),
   d AS (SELECT page_id, title, array_to_string(list_filter(list_transform(str_split(b, chr(1)), lambda p: array_to_string(list_filter(
@@ -192,7 +202,8 @@ def _(t):
 SELECT event_id AS id, event_type AS action, 'user' AS resource_type, user_id AS actor_id, (props->>'$.k')::BIGINT AS k, value FROM events""")
 def _(t):
     schema = t.events.schema
-    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.root)
+    # A pattern, since a stream takes a single file by pattern only; the table may be a file or a folder of files.
+    stream = t.spark.readStream.schema(schema).parquet(f"{t.root}/events.parque[t]")
     rows = stream.select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), F.lit("user").alias("resource_type"),
                          F.col("user_id").cast("string").alias("resource_id"), F.col("user_id").alias("actor_id"), "value",
                          F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("ts").alias("created_at"))

@@ -31,7 +31,18 @@ def _(t):
                                                          "cleaned_length")
 
 
-@plan("t02_mask_pii")
+# DuckDB has no lookaround: runs of digits (for id numbers with a trailing X) are taken whole and judged by their form.
+_RUNS = "array_to_string(list_transform(regexp_extract_all({0}, '{1}'), lambda x: CASE WHEN {2} THEN '{3}' ELSE x END), '')"
+_PHONED = _RUNS.format("text", r"\d+|[^\d]+", r"regexp_full_match(x, '1[3-9]\d{9}')", "<phone>")
+_NUMBERED = _RUNS.format("p", r"\d[\dxX]*|[^\d]+", r"regexp_full_match(x, '\d{17}[\dxX]')", "<id_number>")
+
+
+@plan("t02_mask_pii", rf"""
+SELECT doc_id, len(list_filter(regexp_extract_all(text, '\d+'), lambda x: regexp_full_match(x, '1[3-9]\d{{9}}'))) AS phone_hits,
+  len(list_filter(regexp_extract_all(p, '\d[\dxX]*'), lambda x: regexp_full_match(x, '\d{{17}}[\dxX]'))) AS id_number_hits,
+  len(regexp_extract_all(i, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) AS email_hits,
+  md5(regexp_replace(i, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', '<email>', 'g')) AS masked_md5
+FROM (SELECT *, {_NUMBERED} AS i FROM (SELECT doc_id, text, {_PHONED} AS p FROM documents))""")
 def _(t):
     return X.mask_pii(t.documents).select("doc_id", "phone_hits", "id_number_hits", "email_hits", F.md5("masked").alias("masked_md5"))
 
@@ -130,7 +141,28 @@ def _(t):
     return X.split_clauses(t.documents, "\n")
 
 
-@plan("t10_chunk_documents")
+_SQL_TRIM = "regexp_replace({}, '^[\\s]+|[\\s]+$', '', 'g')"
+CHUNKS = f"""
+WITH RECURSIVE clean AS (SELECT doc_id, source AS title, {_SQL_TRIM.format("regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g')")} AS c FROM documents),
+  unit AS (SELECT doc_id, unnest(regexp_split_to_array(c, '\\n\\s*\\n+')) AS u, generate_subscripts(regexp_split_to_array(c, '\\n\\s*\\n+'), 1) AS i FROM clean),
+  part AS (SELECT doc_id, i, CASE WHEN length({_SQL_TRIM.format('u')}) <= 700 THEN [{_SQL_TRIM.format('u')}]
+     ELSE str_split(regexp_replace(regexp_replace({_SQL_TRIM.format('u')}, '([.!?])\\s+', '\\1' || chr(2), 'g'), '\\n', chr(2), 'g'), chr(2)) END AS ps FROM unit),
+  flat AS (SELECT doc_id, i, generate_subscripts(ps, 1) AS j, unnest(ps) AS raw FROM part),
+  pc AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k, {_SQL_TRIM.format('raw')} AS p FROM flat WHERE {_SQL_TRIM.format('raw')} <> ''),
+  st AS (SELECT doc_id, 0::BIGINT AS k, ''::VARCHAR AS buf, 0::BIGINT AS s, 0::BIGINT AS e, NULL::VARCHAR AS done, 0::BIGINT AS ds, 0::BIGINT AS de FROM clean WHERE c <> ''
+     UNION ALL SELECT doc_id, k, CASE WHEN buf = '' THEN p WHEN brim THEN right(buf, 120) || chr(10) || p ELSE cand END,
+       CASE WHEN buf = '' OR brim THEN here ELSE s END, here + length(p), CASE WHEN brim THEN buf END, s, e FROM
+      (SELECT *, buf <> '' AND length(cand) > 700 AS brim FROM
+        (SELECT st.doc_id, pc.k, st.buf, st.s, st.e, p, st.e + strpos(substr(c, st.e + 1), p) - 1 AS here,
+           CASE WHEN buf = '' THEN p ELSE {_SQL_TRIM.format('buf || chr(10) || p')} END AS cand
+         FROM st JOIN pc ON pc.doc_id = st.doc_id AND pc.k = st.k + 1 JOIN clean ON clean.doc_id = st.doc_id))),
+  rows AS (SELECT doc_id, k, done AS text, ds AS s, de AS e FROM st WHERE done IS NOT NULL UNION ALL
+     SELECT doc_id, k + 1, buf, s, e FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS rn FROM st) WHERE rn = 1)
+SELECT doc_id, doc_id || ':' || lpad(ix::VARCHAR, greatest(4, length(ix::VARCHAR))::INTEGER, '0') AS chunk_id, ix AS chunk_index, text, s AS start, e AS "end", title
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ix FROM rows) JOIN clean USING (doc_id)"""
+
+
+@plan("t10_chunk_documents", CHUNKS)
 def _(t):
     return X.chunk_documents(t.documents.select("doc_id", "text", "source"), title="source",
                              cut_at=r"(?<=[.!?])\s+|\n")

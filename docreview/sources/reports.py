@@ -45,7 +45,7 @@ def write_review_star(star: dict[str, DataFrame], path: str, batch_id: int | str
     for name, df in star.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}")
     spark = next(iter(star.values())).sparkSession
-    spark.range(1).write.mode("overwrite").parquet(f"{root}/_complete_marker".replace("_complete", "complete"))
+    spark.range(1).write.mode("overwrite").parquet(f"{root}/complete_marker")
     return root
 
 

@@ -8,25 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 TEXT_TABLES = ("documents", "pages")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out where the files give fewer partitions than half the cores (one small file, one row group).
+class Tables:
+    """`Tables(spark, dir).orders` reads `dir/orders.parquet`; Catalyst prunes columns and pushes filters.
 
-    Text work is bound by the CPU, so this pays on a small input; a large one has more splits than cores and stays
-    as it is, without a shuffle. Filters and column pruning still reach the scan.
+    With `partitions` the text tables are dealt out over that many, which a caller asks for where one small file would
+    keep a single core busy; otherwise a table is read as its files lie.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
-
-
-class Tables:
-    """`Tables(spark, dir).orders` reads `dir/orders.parquet`; Catalyst prunes columns and pushes filters."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, partitions: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.partitions = partitions
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
-        return spread(df) if name in TEXT_TABLES else df
+        return df.repartition(self.partitions) if self.partitions and name in TEXT_TABLES else df
