@@ -191,9 +191,3 @@ def latest_feedback(verdicts: DataFrame) -> DataFrame:
         F.max(F.struct("ts", "id", "contract_id", "verdict", "comment")).alias("last"), F.min("ts").alias("created_at")).select(
         "risk_item_id", "user_id", "last.contract_id", "last.verdict", "last.comment", "created_at",
         F.col("last.ts").alias("updated_at"))
-
-
-def recent_feedback(feedback: DataFrame, risks: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(newest n verdicts, the risks they judge)."""
-    newest = page_of(feedback, [F.col("updated_at").desc(), F.col("risk_item_id"), F.col("user_id")], 1, n)
-    return newest, risks.join(newest.select("risk_item_id").distinct(), "risk_item_id", "left_semi")

@@ -98,7 +98,7 @@ def missing_clauses(facts: DataFrame, rule_sets: dict[str, Sequence[dict]], crit
     return gap.select(
         "doc_id", "rule_set", "ord", "key", from_rule("title", "").alias("label"),
         F.when(against | grave, "high").otherwise("medium").alias("level"),
-        F.when(against, 10).when(grave, 20).otherwise(30).cast("long").alias("score"),
+        gap_score(F.col("status"), F.col("key"), critical).alias("score"),
         F.when(against, F.concat(F.lit("Counter phrase found: "), "contradiction", F.lit(". "), reason)).otherwise(
             reason).alias("reason"),
         from_rule("law", "").alias("legal_basis"), from_rule("add", default_text).alias("suggested_text"))
@@ -113,11 +113,26 @@ def coverage_score(facts: DataFrame) -> DataFrame:
             F.bround(100 * F.col("present") / F.col("required"), 0)).cast("long"))
 
 
+def review_summary(facts: DataFrame, critical: Sequence[str]) -> DataFrame:
+    """One row per document from one aggregation of its refined facts: rule set, contradictions, coverage, gaps and the worst gap."""
+    required, status = F.col("required"), F.col("status")
+    needed, present = F.count_if(required), F.count_if(required & (status == PRESENT))
+    gap = required & status.isin(MISSING, CONTRADICTED)
+    return facts.groupBy("doc_id").agg(
+        F.first("rule_set").alias("rule_set"), F.count_if(status == CONTRADICTED).alias("n_contradicted"),
+        F.when(needed == 0, F.lit(100)).otherwise(F.bround(100 * present / needed, 0)).cast("long").alias("coverage"),
+        F.count_if(gap).alias("n_gaps"), F.min(F.when(gap, gap_score(status, F.col("key"), critical))).alias("worst_gap"))
+
+
+def gap_score(status: Column, key: Column, critical: Sequence[str]) -> Column:
+    return F.when(status == CONTRADICTED, 10).when(key.isin(list(critical)), 20).otherwise(30).cast("long")
+
+
 def review_documents(df: DataFrame, rule_sets, markers, default_set: str, contradictions, critical,
                      text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, gaps, coverage) of whole documents without a model."""
+    """(facts, gaps, summary) of whole documents without a model; the summary has one row per document."""
     from docreview.operators.text import infer_rule_set
 
     typed = infer_rule_set(df, markers, default_set, text=text)
     facts = refine_facts(extract_facts(typed, rule_sets, contradictions, text))
-    return facts, missing_clauses(facts, rule_sets, critical), coverage_score(facts)
+    return facts, missing_clauses(facts, rule_sets, critical), review_summary(facts, critical)

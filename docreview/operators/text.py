@@ -186,8 +186,7 @@ def category_of(df: DataFrame, rules, default: str = "general", text: str = "tex
     return df.withColumn("category", value)
 
 
-def split_articles(df: DataFrame, pattern: str, expected: int | None = None, text: str = "text",
-                   require_heading: bool = False) -> DataFrame:
+def split_articles(df: DataFrame, pattern: str, expected: int | None = None, text: str = "text") -> DataFrame:
     """Tags dropped, entities decoded, numbered articles cut out -> (doc_id, pos, number, content without blanks).
 
     `pattern` has two groups: number and content. With `expected` the job fails where a document has another count.

@@ -219,11 +219,11 @@ def _(t):
 
 
 @plan("a12_share_list", """
-SELECT o_orderkey AS share_id, o_orderdate AS created_at, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS annotation_count
+SELECT o_orderkey AS share_id, o_orderdate AS created_at, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS annotation_count
 FROM orders""")
 def _(t):
     shares = t.orders.select(F.col("o_orderkey").alias("share_id"), F.col("o_orderdate").alias("created_at"))
-    notes = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("share_id"))
+    notes = t.lineitem.select(F.col("l_orderkey").alias("share_id"))
     return A.share_list(shares, notes)
 
 

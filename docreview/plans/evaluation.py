@@ -16,15 +16,14 @@ from docreview.plans.registry import plan
 from docreview.session import cut_lineage
 
 DEPTH = 5
-LABELED = "(SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"
 
 
 @plan("e01_retrieval_metrics", f"""
 WITH vs AS (SELECT i.item_id AS query_id, b.vec_id AS doc_id, {PR.COSINE} AS score
          FROM benchmark i JOIN embeddings a ON a.vec_id = i.item_id, embeddings b WHERE b.vec_id <> i.item_id),
-  {PR.cut_sql('vc', 'vs', DEPTH)}, {PR.bm25_sql(LABELED, PR.ASKS)}, {PR.cut_sql('bc', 'sc', DEPTH)},
+  {PR.cut_sql('vc', 'vs', DEPTH)}, {PR.bm25_sql('documents', PR.ASKS)}, {PR.cut_sql('bc', 'sc', DEPTH)},
   h AS (SELECT 'vector' AS channel, query_id, rank, label FROM vc JOIN embeddings ON vec_id = doc_id UNION ALL
-        SELECT 'bm25', query_id, rank, label FROM bc JOIN embeddings ON vec_id = doc_id),
+        SELECT 'bm25', query_id, rank, label FROM bc LEFT JOIN embeddings ON vec_id = doc_id),
   gold AS (SELECT item_id AS query_id, label FROM benchmark JOIN embeddings ON vec_id = item_id),
   f AS (SELECT channel, query_id, min(rank) AS first FROM h JOIN gold USING (query_id, label) GROUP BY ALL),
   n AS (SELECT count(*) AS n FROM gold)
@@ -37,13 +36,12 @@ FROM (VALUES ('vector'), ('bm25')) c(channel), n""")
 def _(t):
     asks = PR._hybrid_asks(t).filter(F.col("embedding").isNotNull())
     labels = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("category"))
-    labeled = PR._docs(t).join(labels.select("doc_id"), "doc_id", "left_semi")
     # The query's own vector is left out: one more is fetched, then cut again.
     near = R.vector_topk(asks, PR._vectors(t), DEPTH + 1).filter(F.col("query_id") != F.col("doc_id"))
     near = top_rows(near.drop("rank"), ("query_id",), [F.col("score").desc(), F.col("doc_id")], DEPTH, "rank")
-    words = R.bm25_topk(PR._asks(t), R.bm25_index(labeled), DEPTH)
+    words = R.bm25_topk(PR._asks(t), R.bm25_index(PR._docs(t)), DEPTH)
     hits = near.select(F.lit("vector").alias("channel"), "query_id", "doc_id", "rank").unionByName(
-        words.select(F.lit("bm25").alias("channel"), "query_id", "doc_id", "rank")).join(labels, "doc_id")
+        words.select(F.lit("bm25").alias("channel"), "query_id", "doc_id", "rank")).join(labels, "doc_id", "left")  # a document without a vector has no category
     gold = t.benchmark.select(F.col("item_id").alias("query_id")).join(labels.withColumnRenamed("doc_id", "query_id"), "query_id")
     channels = t.spark.createDataFrame([("vector",), ("bm25",)], "channel string")
     return E.retrieval_metrics(hits, gold, channels)
@@ -219,22 +217,23 @@ def _(t):
 
 
 FEEDBACK = """
-  fb AS (SELECT doc_id AS risk_item_id, CASE WHEN lang = 'es' THEN '' ELSE source END AS contract_id,
+  fb AS (SELECT CASE WHEN source = 'src5' THEN -doc_id ELSE doc_id END AS risk_item_id, CASE WHEN lang = 'es' THEN '' ELSE source END AS contract_id,
      CASE WHEN toxic = 1 THEN 'false_positive' WHEN quality = 1 THEN 'accepted' ELSE 'ignored' END AS verdict,
      'label ' || quality || toxic AS comment FROM labels JOIN documents USING (doc_id)),
   rk AS (SELECT doc_id AS risk_item_id, CASE WHEN source = 'src3' THEN '' ELSE lang || '-' || source END AS category,
      CASE WHEN n_chars > 2000 THEN 'high' WHEN n_chars > 900 THEN '' ELSE 'medium' END AS level,
-     str_split(text, chr(10))[1] AS original_clause FROM documents WHERE n_chars > 400),
+     text AS original_clause FROM documents),
   jd AS (SELECT * FROM fb JOIN rk USING (risk_item_id) WHERE verdict <> 'ignored')"""
 
 
 def _feedback(t) -> tuple[DataFrame, DataFrame]:
-    docs = t.documents.select("doc_id", "lang", "source", "n_chars", F.substring_index("text", "\n", 1).alias("line"))
+    docs = t.documents.select("doc_id", "lang", "source", "n_chars", F.col("text").alias("line"))
     fb = t.labels.join(docs, "doc_id").select(
-        F.col("doc_id").alias("risk_item_id"), F.when(F.col("lang") == "es", "").otherwise(F.col("source")).alias("contract_id"),
+        F.when(F.col("source") == "src5", -F.col("doc_id")).otherwise(F.col("doc_id")).alias("risk_item_id"),  # no such risk
+        F.when(F.col("lang") == "es", "").otherwise(F.col("source")).alias("contract_id"),
         F.when(F.col("toxic") == 1, "false_positive").when(F.col("quality") == 1, "accepted").otherwise("ignored").alias("verdict"),
         F.concat(F.lit("label "), F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("comment"))
-    risks = docs.filter("n_chars > 400").select(
+    risks = docs.select(
         F.col("doc_id").alias("risk_item_id"), F.when(F.col("source") == "src3", "").otherwise(
             F.concat_ws("-", "lang", "source")).alias("category"),
         F.when(F.col("n_chars") > 2000, "high").when(F.col("n_chars") > 900, "").otherwise("medium").alias("level"),

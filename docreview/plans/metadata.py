@@ -196,12 +196,12 @@ def _(t):
 
 @plan("m08_corpus_coverage", """
 WITH e AS (SELECT DISTINCT 'size ' || p_size AS category FROM part UNION ALL SELECT 'size 77'),
-  c AS (SELECT 'size ' || p_size AS category, count(*) AS n FROM part WHERE p_type = 'PROMO' GROUP BY 1)
+  c AS (SELECT 'size ' || p_size AS category, count(*) AS n FROM part GROUP BY 1)
 SELECT category, coalesce(n, 0) AS n_rows, coalesce(n, 0) >= 5 AS covered FROM e LEFT JOIN c USING (category)""")
 def _(t):
     size = F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("category")
     expected = t.part.select(size).distinct().unionByName(t.part.select(F.lit("size 77").alias("category")).distinct())
-    return M.corpus_coverage(t.part.filter("p_type = 'PROMO'").select(size), expected, 5)
+    return M.corpus_coverage(t.part.select(size), expected, 5)
 
 
 @plan("m08_unknown_categories", f"""

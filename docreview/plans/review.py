@@ -141,15 +141,10 @@ def categorized(t, documents: DataFrame | None = None, keep=()) -> DataFrame:
 SELECT doc_id, rule_set, coverage, n_contradicted, coalesce(n_gaps, 0) AS n_gaps, worst_gap, score, level, risk_count
 FROM n JOIN cover USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN leveled USING (doc_id)""")
 def review(t):
-    facts, missing, cover = FX.review_documents(
+    _, _, summary = FX.review_documents(
         t.documents.select("doc_id", "text"), latin.RULE_SETS, latin.RULE_SET_MARKERS, latin.DEFAULT_RULE_SET,
         latin.CONTRADICTIONS, latin.CRITICAL_KEYS)
-    per_doc = facts.groupBy("doc_id").agg(F.first("rule_set").alias("rule_set"), F.count_if(
-        F.col("status") == FX.CONTRADICTED).alias("n_contradicted"))
-    worst = missing.groupBy("doc_id").agg(F.count("*").alias("n_gaps"), F.min("score").alias("worst_gap"))
-    risks = K.risk_score(categorized(t)).drop("risk_ratio")
-    return per_doc.join(cover.select("doc_id", "coverage"), "doc_id").join(worst, "doc_id", "left").join(
-        risks, "doc_id", "left").withColumn("n_gaps", F.coalesce("n_gaps", F.lit(0)).cast("long"))
+    return summary.join(K.risk_score(categorized(t)).drop("risk_ratio"), "doc_id", "left")
 
 
 @plan("k01_risk_score", f"WITH {SCORES} SELECT * FROM leveled")

@@ -242,8 +242,8 @@ WITH {PR.STATUTES}, {PR.QUESTIONS},
     (SELECT query_id, 'passage ' || doc_id AS title, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, final_rank) AS position FROM one_r) GROUP BY 1),
   top AS (SELECT doc_id, string_agg('- [' || level || '] ' || category, chr(10) ORDER BY risk_id) AS risks FROM
     (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY risk_id) AS nth FROM risk) WHERE nth <= 6 GROUP BY doc_id)
-SELECT conv_id * 1000 + turn AS query_id, coalesce(refs, '') AS refs, CASE WHEN n_chars IS NULL THEN '' ELSE 'score ' || least(100, n_chars) || '/100' ||
-  coalesce(chr(10) || risks, '') END AS report FROM conversations LEFT JOIN rf ON query_id = conv_id * 1000 + turn
+SELECT conv_id || '/' || turn AS query_id, coalesce(refs, '') AS refs, CASE WHEN n_chars IS NULL THEN '' ELSE 'score ' || least(100, n_chars) || '/100' ||
+  coalesce(chr(10) || risks, '') END AS report FROM conversations LEFT JOIN rf ON query_id = conv_id || '/' || turn
   LEFT JOIN documents d ON d.doc_id = conv_id LEFT JOIN top ON top.doc_id = conv_id WHERE role = 'user'""")
 def _(t):
     users = t.conversations.filter("role = 'user'").select(PR._question_key(), "text", F.col("conv_id").alias("report_id"))

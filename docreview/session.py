@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +55,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors of a cluster where it is not installed: it is zipped and added to the job."""
+    folder = Path(tempfile.mkdtemp(prefix="docreview-package-"))
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(folder / root.name), "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(archive)

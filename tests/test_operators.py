@@ -175,3 +175,72 @@ def test_filters_reach_the_scan(spark, sf):
     kept = A.filter_records(df, {"o_orderstatus": "F"}, "o_orderdate", "1996-01-01", "1996-12-31").select("o_orderkey")
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "EqualTo(o_orderstatus,F)" in plan
+
+
+def test_html_entities_and_unclosed_elements(spark):
+    from docreview.sources.html import html_to_text
+
+    raw = ["caf&eacute; &#8217;x &mdash; &copy; &#x1F600; &amp;lt; &nosuch; &#0; a & b &", "<p>seen</p><script>var hidden = 1;", "<style>x</style>kept", None]
+    page = spark.createDataFrame([(i, h) for i, h in enumerate(raw)], "page_id int, html string")
+    got = {r.page_id: r.content for r in html_to_text(page).collect()}
+    assert got[0] == "café ’x — © 😀 &lt; &nosuch; &#0; a & b &" and got[1] == "seen" and got[2] == "kept"
+
+
+def test_vectors_with_string_ids_nulls_and_many_groups(spark, monkeypatch):
+    vectors = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [-1.0, 0.1]), ("d", None), ("e", [0.0, 1.0])],
+                                    "doc_id string, embedding array<double>")
+    asks = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [-1.0, 0.0]), ("q3", None)], "query_id string, embedding array<double>")
+    want = {("q1", "a", 1.0, 1), ("q1", "b", 1.0, 2), ("q2", "e", 0.0, 2), ("q2", "c", 0.995, 1)}
+    assert {(r.query_id, r.doc_id, round(r.score, 3), r.rank) for r in R.vector_topk(asks, vectors, 2).collect()} == want
+    monkeypatch.setattr(R, "GROUP_FLOATS", 1)  # one query per group, in the same way
+    monkeypatch.setattr(R, "TILE_VECTORS", 1)
+    assert {(r.query_id, r.doc_id, round(r.score, 3), r.rank) for r in R.vector_topk(asks, vectors, 2).collect()} == want
+    assert R.vector_topk(asks.limit(0), vectors, 2).collect() == []
+
+
+def test_negative_cosines_rank_by_themselves(spark):
+    near = [(i, [-1.0, 0.01 * i]) for i in range(50)] + [(100 + i, [-0.01, 1.0 + 0.001 * i]) for i in range(50)]
+    vectors = spark.createDataFrame(near, "doc_id long, embedding array<double>")
+    ask = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    top = R.vector_topk(ask, vectors, 5).collect()
+    assert all(r.doc_id >= 100 and r.score == 0 for r in top)
+    assert rows(R.cells_topk(ask, R.build_cells(vectors, 4), 5)) == rows(R.vector_topk(ask, vectors, 5))
+
+
+def test_cells_can_be_saved(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)], "doc_id long, embedding array<double>")
+    cells = R.build_cells(vectors, 5)
+    cells.save(str(tmp_path))
+    ask = vectors.limit(3).withColumnRenamed("doc_id", "query_id")
+    assert rows(R.ivf_topk(ask, R.Cells.load(spark, str(tmp_path)), 4, 2)) == rows(R.ivf_topk(ask, cells, 4, 2))
+
+
+def test_search_without_blanks_reads_each_text_once(spark, monkeypatch):
+    texts = [(1, "竞业限制的补偿"), (2, "试用期工资"), (3, "工作时间"), (4, "年休假")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    index = R.bm25_index(docs, tokenizer=R.Tokenizer(bigrams=True))
+    ask = spark.createDataFrame([(1, "竞业限制补偿")], "query_id long, text string")
+    plan = R.bm25_topk(ask, index, 2)
+    assert [r.doc_id for r in plan.collect()] == [1]
+    corpus = docs.withColumn("title", F.lit("")).withColumn("category", F.lit("x"))
+    assert [r.doc_id for r in R.hybrid_search(ask, corpus, 1, index).collect()] == [1]
+    # The index rests on written postings: no search cuts the texts of the corpus into tokens again.
+    assert plan._jdf.queryExecution().toString().count("MapInArrow") == 0
+
+
+def test_no_exchange_carries_a_text(spark, sf):
+    import __spark_entry__ as entry
+
+    for name in ("k04_quality_gate", "f07_review_documents"):
+        plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        below = [line for line in plan.splitlines() if "Exchange" in line]
+        assert below and not any("text#" in line for line in below)
+
+
+def test_tables_as_folders(spark, sf, tmp_path):
+    import __spark_entry__ as entry
+
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert entry.queries()["s12_append_audit"](spark, str(tmp_path)).count() == spark.read.parquet(f"{sf}/events.parquet").count()
