@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,7 +130,7 @@ def _query_groups(queries: DataFrame):
     """The queries in groups of GROUP_FLOATS values, each (ids, unit vectors); the driver holds one group at a time."""
     ids, rows, held = [], [], 0
     for row in queries.toLocalIterator():
-        ids.append(row.query_id), rows.append(row.embedding)
+        ids.append(row.query_id.asDict() if isinstance(row.query_id, Row) else row.query_id), rows.append(row.embedding)
         held += len(row.embedding)
         if held >= GROUP_FLOATS:
             yield ids, _unit(np.array(rows, dtype="float64"))

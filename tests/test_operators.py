@@ -244,3 +244,18 @@ def test_tables_as_folders(spark, sf, tmp_path):
     for name in ("documents", "events"):
         spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
     assert entry.queries()["s12_append_audit"](spark, str(tmp_path)).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_clauses_search_with_both_channels(spark):
+    corpus = spark.createDataFrame([(1, "t1", "alpha beta", "x"), (2, "t2", "gamma delta", "x"), (3, "t3", "alpha gamma", "y")],
+                                   "doc_id long, title string, text string, category string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "x"), (3, [1.0, 0.1], "y")], "doc_id long, embedding array<double>, category string")
+    clauses = spark.createDataFrame([(7, 1, "alpha", "alpha", "x", [0.0, 1.0]), (7, 2, "zeta", "zeta", None, [1.0, 0.1]), (8, 1, "beta", "beta", "y", None)],
+                                    "doc_id long, clause_id long, title string, content string, category string, embedding array<double>")
+    index = R.bm25_index(corpus.select("doc_id", "text"))
+    got = {(r.doc_id, r.clause_id, r.ref_id, r.attempt) for r in R.retrieve_for_clauses(clauses, corpus, index, vectors=vectors, min_hits=1).collect()}
+    # Inside x both channels answer the first clause; the second, without a category, asks everywhere by its vector; the
+    # third finds no word in y and has no vector, so it asks again in the whole corpus.
+    assert {(7, 1, 1, 1), (7, 1, 2, 1), (7, 2, 3, 2), (8, 1, 1, 2)} <= got
+    plain = {(r.doc_id, r.ref_id) for r in R.retrieve_for_clauses(clauses.drop("embedding"), corpus, index, min_hits=1).collect()}
+    assert plain == {(8, 1)}  # the word of the first clause is in most passages and weighs nothing
