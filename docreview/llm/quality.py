@@ -66,6 +66,19 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.hstack((own, before, after, np.ones((len(ends), 1)))), sizes, first
 
 
+def features_by_parts(texts: list[bytes], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`line_features` of texts of any number, about `limit` bytes at a time: only the features of all are held."""
+    parts, start, held = [], 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= limit or i == len(texts) - 1:
+            parts.append(line_features(texts[start:i + 1]))
+            start, held = i + 1, 0
+    lines = np.cumsum([0, *[len(p[1]) for p in parts]])[:-1]
+    return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]),
+            np.concatenate([p[2] + at for p, at in zip(parts, lines)]))
+
+
 @dataclass
 class Chain:
     """Weights of "good" per feature, and of transitions between bad (0) and good (1); then scale and shift of the score."""
@@ -105,7 +118,7 @@ class Chain:
 
     def raw_scores(self, texts: list[bytes]) -> np.ndarray:
         """Length-weighted mean of P(good) as log odds; an empty line weighs as one character."""
-        features, sizes, first = line_features(texts)
+        features, sizes, first = features_by_parts(texts)
         good, _ = self.marginals(features, first)
         weight = np.maximum(sizes, 1).astype(float)
         mean = np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first)
@@ -118,7 +131,7 @@ class Chain:
 
 def train_chain(texts: list[bytes], labels: np.ndarray, steps: int = STEPS) -> Chain:
     """Maximum likelihood with a little shrinkage, by Adam over all documents; deterministic."""
-    features, _, first = line_features(texts)
+    features, _, first = features_by_parts(texts)
     sizes = np.diff(np.append(first, len(features)))
     target = np.repeat(labels, sizes)
     inner = np.ones(len(features), bool)
@@ -166,18 +179,23 @@ def fit(labelled: DataFrame) -> Chain | None:
     return train_chain([held["text"][i].as_py() for i in order], np.array([float(held["quality"][i].as_py() > 0) for i in order]))
 
 
-def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
-    """(row, score) of `docs(row, text)`; null and empty texts are one empty line. Without labels every score is 0.5."""
+def score(docs: DataFrame, chain: Chain | None, keep_text: bool = False) -> DataFrame:
+    """(row, score[, text]) of `docs(row, text)`; null and empty texts are one empty line, and empty in the result.
+
+    Without labels every score is 0.5.
+    """
     held = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, 1)):
             texts = batch.column(1).to_pylist()
             scores = np.full(len(texts), 0.5) if held.value is None else held.value.scores(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *batch.columns[1:1 + keep_text]],
+                                             ["row", "score", *["text"] * keep_text])
 
     work = docs.select("row", whole("text").cast("binary").alias("text"))
-    return work.mapInArrow(run, f"row {work.schema['row'].dataType.simpleString()}, score double")
+    scored = work.mapInArrow(run, f"row {work.schema['row'].dataType.simpleString()}, score double{', text binary' * keep_text}")
+    return scored.withColumn("text", F.col("text").cast("string")) if keep_text else scored
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
