@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Fixed by the contracts: white space and words are ASCII classes.
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 """Text handled at a time inside a Python task, so that its memory does not depend on the size of an Arrow batch."""
 
 
@@ -26,12 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages read files that every executor sees, whoever is lost meanwhile."""
+    """Reliable checkpoint: later stages read files that every executor sees, whoever is lost meanwhile.
+
+    The collection of garbage on the driver lets Spark's cleaner delete the shuffle files of stages cut off earlier, which
+    would otherwise pile up over a long chain of steps.
+    """
     context = df.sparkSession.sparkContext
     root = shared_dir(df.sparkSession)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    context._jvm.System.gc()
+    return out
 
 
 def whole(text: Column | str) -> Column:

@@ -2,9 +2,9 @@
 
 Two permutations of the 64-bit words make a whole signature: shingle hashes are permuted once, and coordinate k is the
 smallest image under the second permutation, shifted by k places. Documents that agree on a band are candidates. Equal sets
-are one class first; each bucket then links its members to a leader, and only members that still lie in different
-components meet as pairs, so a group of near copies costs a star instead of all its pairs. Every link is confirmed on the
-whole shingle sets.
+are one class first; each bucket then compares its members with a leader. How the members differ from the leader tells, by
+counting, which of them can be linked although the leader does not connect them; only these meet as pairs, so a group of
+near copies costs a star instead of all its pairs. Every link is confirmed on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -124,23 +124,74 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, items binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets share at least `percent` hundredths of their union."""
+def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v, linked, n_u, n_v, diff) of `pairs(u, v)`: whether the whole sets are similar enough, and how they differ."""
     left = lookup(pairs, sets.select(F.col("doc").alias("u"), F.col("items").alias("left")), "u", "v")
     both = lookup(left, sets.select(F.col("doc").alias("v"), F.col("items").alias("right")), "v", "u")
 
     def run(batches):
-        for batch in batches:
-            keep = []
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            linked, n_u, n_v, diffs = [], [], [], []
             for x, y in zip(batch.column("left"), batch.column("right")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 union = np.concatenate((x, y))
                 union.sort(kind="stable")
-                shared = int((union[1:] == union[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(union) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
+                twice = union[1:] == union[:-1]
+                shared = int(twice.sum())
+                linked.append(100 * shared >= percent * (len(union) - shared))
+                n_u.append(len(x)), n_v.append(len(y))
+                diffs.append(union[~(np.append(twice, False) | np.append(False, twice))].view(np.int64))
+            offsets = pa.array(np.cumsum([0, *map(len, diffs)], dtype=np.int32))
+            diff = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(diffs) if diffs else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()),
+                                              pa.array(n_u, pa.int64()), pa.array(n_v, pa.int64()), diff],
+                                             ["u", "v", "linked", "n_u", "n_v", "diff"])
+
+    return both.select("u", "v", "left", "right").mapInArrow(run, "u long, v long, linked boolean, n_u long, n_v long, diff array<long>")
+
+
+def pairs_beyond(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the pairs of members of one star, in different components, that could still be linked.
+
+    `stars(u, v, linked, n_u, n_v, diff)` compares the leader u with each member v. Sets a and b are linked if they differ in
+    at most t * (|a| + |b|) elements, t = (100 - percent) / (100 + percent). With A and B what a and b differ in from the
+    leader, they differ in |A| + |B| - 2 |A & B|. So members that differ from the leader in different places are refuted by
+    sizes alone, and the others must share m elements of A and B; then they share one among the |A| - m + 1 elements of A
+    and the |B| - m + 1 of B that are rarest in the star. One of the pair, a, is not linked to the leader, since otherwise
+    both are in its component; hence 2m > |B| + t (leader - |b|), and m >= |A| - t (|a| + |b|) because m <= |B|. Elements
+    that no other member has need no index entry, so copies with edits of their own meet nobody.
+    Stars with one member have no such pairs.
+    """
+    t = (100 - percent) / (100 + percent)
+    size = F.size("diff").cast("long")
+    half = size - F.floor((size + t * (F.col("n_u") - F.col("n_v"))) / 2 - 1e-6)
+    long = size - F.greatest(F.lit(1), F.ceil(size - t * F.col("n_v") * (1 + 100 / percent) - 1e-6)) + 1
+    several = stars.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+    members = cut(lookup(stars, several.withColumn("several", F.lit(True)), "u", "v").filter("several").select(
+        "u", "v", "linked", "n_v", size.alias("size"), F.greatest(half, F.lit(0)).alias("half"),
+                               F.greatest(long, F.lit(0)).alias("long"), "diff")
+                  .join(roots.select("v", "root"), "v", "left").withColumn("root", F.coalesce("root", "v")))
+    items = members.select("u", "v", F.explode("diff").alias("item")).withColumn("key", F.xxhash64("u", "item"))
+    common = items.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = lookup(items, common, "key", "v").filter("df IS NOT NULL").groupBy("u", "v").agg(
+        F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
+    indexed = members.drop("diff").join(shared, ["u", "v"]).withColumn("own", F.col("size") - F.size("shared"))
+
+    def entries(rows: DataFrame, prefix: str) -> DataFrame:
+        kept = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.least(F.size("shared"), F.col(prefix) - F.col("own"))).cast("int"))
+        return rows.select("v", "n_v", "size", "own", "root", F.posexplode(kept).alias("i", "e")).select(
+            "v", "n_v", "size", "root", (F.col("own") + F.col("i") + 1).alias("place"), "e.key")
+
+    any_member = cut(entries(indexed, "half"))
+    unlinked = cut(entries(indexed.filter("NOT linked"), "long"))
+    mixed = any_member.unionByName(unlinked).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    a = unlinked.join(mixed.select("key"), "key").alias("a")
+    b = any_member.join(mixed.select("key"), "key").alias("b")
+    fits = 100 * F.least("a.n_v", "b.n_v") >= percent * F.greatest("a.n_v", "b.n_v")
+    need = (F.col("a.size") + F.col("b.size") - t * (F.col("a.n_v") + F.col("b.n_v"))) / 2 - 1e-6
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & fits
+                 & (need <= F.col("a.size") - F.col("a.place") + 1) & (need <= F.col("b.size") - F.col("b.place") + 1))
+    return met.select(F.least("a.v", "b.v").alias("u"), F.greatest("a.v", "b.v").alias("v")).distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -168,13 +219,33 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def centre_stars(compared: DataFrame) -> DataFrame:
+    """(u, v): every star of two members at least with the member nearest to its leader as the leader, the old one as a member.
+
+    Two stars may get the same leader; they are one star then, which only adds pairs to look at.
+    """
+    near = compared.groupBy("u").agg(F.min(F.struct(F.size("diff").alias("d"), "v")).alias("near"), F.count("*").alias("n")).filter("n > 1")
+    centre = near.select("u", F.col("near.v").alias("centre"))
+    moved = lookup(compared.select("u", "v"), centre, "u", "v").filter("centre IS NOT NULL")
+    others = moved.filter("v <> centre").select(F.col("centre").alias("u"), "v")
+    return others.union(centre.select("centre", "u")).distinct()
+
+
+def rest_stars(crowded: DataFrame, compared: DataFrame) -> DataFrame:
+    """(u, v): in every bucket, the first member that its leader does not link, and the others like it."""
+    unlinked = compared.filter("NOT linked").select(F.col("u").alias("leader"), F.col("v").alias("rep"))
+    rest = crowded.select("key", "leader", "rep").join(unlinked, ["leader", "rep"]).select("key", "rep")
+    firsts = rest.groupBy("key").agg(F.min("rep").alias("first"))
+    return lookup(rest, firsts, "key", "rep").filter("rep <> first").select(F.col("first").alias("u"), F.col("rep").alias("v")).distinct()
+
+
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc, n, root) for every row of `docs(doc, text)`: the set size and the smallest doc reachable over links.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets. Texts without words are linked
     with nothing; null texts are empty, a null doc comes after all others (and is null again in the result); rows that share
     a doc are one node. Every pair that agrees on a band is confirmed or refuted, apart from pairs already known to be
-    connected.
+    connected; see pairs_beyond().
     """
     docs = docs.select(F.coalesce("doc", F.lit(NO_ID)).cast("long").alias("doc"), whole("text").alias("text"))
     sigs = cut(signatures(docs, words, bands, rows))
@@ -191,17 +262,18 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     asked = cut(crowded.select("rep").distinct())
     texts = marked(docs, "doc", asked.select(F.col("rep").alias("doc"))).join(asked.withColumnRenamed("rep", "doc"), "doc", "left_semi")
     sets = cut(sets_of(texts, words).dropDuplicates(["doc"]))
-    linked = cut(confirm(stars, sets, percent))
-    roots = components(linked)
-    rooted = crowded.join(roots.withColumnRenamed("v", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    # Members of a bucket that are still apart meet as pairs, those of compatible sizes only.
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    apart = cut(rooted.join(mixed, "key").select("key", "rep", "n", "root"))
-    x, y = apart.alias("x"), apart.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root"))
-                   & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-    pairs = pairs.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    more = cut(confirm(cut(pairs), sets, percent))
+    compared = cut(compare(stars, sets, percent))
+    links = compared.filter("linked").select("u", "v")
+    # The member nearest to its leader is nearest to what all copies come from: it leads the star once more. Members that
+    # no leader linked choose one among themselves.
+    centred = cut(centre_stars(compared))
+    second = cut(rest_stars(crowded, compared).join(centred, ["u", "v"], "left_anti"))
+    compared = cut(compare(centred, sets, percent))
+    found = compared.filter("linked").select("u", "v").union(compare(second, sets, percent).filter("linked").select("u", "v"))
+    roots = components(links.union(found))
+    tried = stars.union(second).union(centred.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    pairs = cut(pairs_beyond(compared, roots, percent).join(tried, ["u", "v"], "left_anti"))
+    more = compare(pairs, sets, percent).filter("linked").select("u", "v")
     roots = components(roots.select(F.col("root").alias("u"), "v").union(more))
     out = members.join(roots.withColumnRenamed("v", "rep"), "rep", "left")
     back = lambda c: F.when(c != NO_ID, c)

@@ -109,6 +109,29 @@ def test_near(spark, words, percent):
     assert got == brute_components(rows, words, percent)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_large_group(spark, seed):
+    """One group of copies with few or many edits, some shared by a family of them: links, and many near misses."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(90)]
+    families = [base]
+    for _ in range(4):
+        words = list(rng.choice(families))
+        for _ in range(rng.choice((2, 4, 8))):
+            words[rng.randrange(90)] = f"f{rng.randrange(10_000)}"
+        families.append(words)
+    rows = []
+    for i in range(260):
+        words = list(rng.choice(families))
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 4, 6))):
+            words[rng.randrange(90)] = f"e{rng.randrange(10_000)}"
+        rows.append((i, " ".join(words[:rng.choice((90, 90, 90, 80))])))
+    docs = documents(spark, rows, extra=False).withColumnRenamed("doc_id", "doc")
+    got = {r.doc: (r.n, r.root) for r in minhash.near_components(docs, 3, 85).collect()}
+    want = brute_components(rows, 3, 85)
+    assert got == want and 10 < len({v[1] for v in want.values()}) < 250
+
+
 def test_near_chain(spark):
     """Links that no leader has: each text resembles its neighbours only."""
     words = [f"w{i}" for i in range(400)]
