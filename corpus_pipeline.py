@@ -18,8 +18,10 @@ from docreview.llm.common import WORD, shared_dir, table, whole
 def quality_filter(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, trained on the labelled ones among `docs`."""
     chain = quality.fit(quality.labelled_rows(docs, table(spark, sf_dir, "labels")))
-    scored = quality.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), chain)
-    return scored.filter(F.col("score") >= quality.ACCEPT if chain else F.lit(True)).select("row.*")
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    scored = quality.score(docs.select(others, "text"), chain, keep_text=True)
+    kept = scored.filter(F.col("score") >= quality.ACCEPT if chain else F.lit(True))
+    return kept.select(*[F.col("text" if c == "text" else f"row.{c}").alias(c) for c in docs.columns])
 
 
 def line_filter(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +48,8 @@ def mix_filter(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether decoding them gives the text again."""
-    ranks = bpe.vocabulary(spark)
     work = docs.select("doc_id", "lang", "source", whole("text").alias("original"), whole("text").alias("text"))
-    done = bpe.decode(bpe.encode(work, ranks=ranks), ranks)
+    done = bpe.round_trip(work)
     return done.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                        (F.col("text") == F.col("row.original")).alias("round_trip"))
 

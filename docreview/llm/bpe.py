@@ -25,9 +25,9 @@ from docreview.llm.common import slices, table, whole
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MAX_TRANSITIONS = 1_000_000
-"""Transitions kept; the table is dropped and filled again beyond, which changes no result."""
+"""Transitions kept; the table is dropped and filled again beyond, which changes no result. About 250 MB."""
 MAX_PIECES = 200_000
-"""Tokens of short pieces kept per task process, dropped and filled again beyond."""
+"""Tokens of short pieces kept per task process, and as many older ones. About 80 MB."""
 LONG_PIECE, LONG_TEXT, STEP = 64, 1 << 20, 1 << 16
 
 
@@ -36,86 +36,146 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.starts = {token[:i] for token in ranks for i in range(1, len(token))}
+        # Beginnings of tokens: twice the rank + 1 where it is a token itself, plus 1 where a longer token begins so.
+        self.starts = {token[:i]: 1 for token in ranks for i in range(1, len(token))}
+        for token, i in ranks.items():
+            self.starts[token] = 2 * (i + 1) + self.starts.get(token, 0)
         self.bytes_of = {i: token for token, i in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.splits: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
         # a place: (bytes since it, its last token, tokens before it that are not emitted); the last place is "here"
         start = ((b"", -1, ()),)
-        self.ids, self.states, self.moves = {start: 0}, [start], {}
-
-    def merged(self, data: bytes) -> list[int]:
-        """Plain merging, for pairs of tokens only."""
-        parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        self.ids, self.states = {start: 0}, [start]
+        self.moves: dict[int, int] = {}
+        """state * 256 + byte -> next state, or ~i for the next state and tokens of `emitting[i]`."""
+        self.emitting: list[tuple[int, tuple[int, ...]]] = []
+
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes `token`; None for a single byte. (-1, -1) where no merges lead to it."""
+        if token not in self.splits:
+            data = self.bytes_of[token]
+            parts = [data[i:i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], token), i) for i in range(len(parts) - 1))
+                if rank >= token:
+                    break
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            found = None if len(data) == 1 else (-1, -1)
+            if len(parts) == 2:
+                left, right = self.ranks[parts[0]], self.ranks[parts[1]]
+                if all(x < token and self.halves(x) != (-1, -1) for x in (left, right)):
+                    found = left, right
+            self.splits[token] = found
+        return self.splits[token]
 
     def compatible(self, left: int, right: int) -> bool:
-        if (left, right) not in self.pairs:
+        """Whether merging the bytes of both tokens ends with exactly these two.
+
+        Time is run backwards: of the two tokens that touch, the one merged last is taken apart, until an earlier merge
+        across the border shows up or only bytes are left.
+        """
+        if self.halves(right) == (-1, -1):
+            return False
+        if left < 0:
+            return True
+        key = left << 32 | right
+        known = self.pairs.get(key)
+        if known is None:
             if len(self.pairs) > MAX_TRANSITIONS:
                 self.pairs.clear()
-            before = self.bytes_of[left] if left >= 0 else b""
-            self.pairs[left, right] = self.merged(before + self.bytes_of[right]) == [x for x in (left, right) if x >= 0]
-        return self.pairs[left, right]
-
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Makes a transition: the next state and the tokens that have become final."""
-        places, here, step = [], None, bytes((byte,))
+            known, x, y, before = True, left, right, 1 << 60
+            while True:
+                across = self.ranks.get(self.bytes_of[x] + self.bytes_of[y], 1 << 61)
+                if across < before:
+                    known = False
+                    break
+                a, b = self.halves(x), self.halves(y)
+                if a and (x > y or not b):
+                    before, x = x, a[1]  # at equal ranks the merge further left comes first
+                elif b:
+                    before, y = y + 1, b[0]
+                else:
+                    break
+            self.pairs[key] = known
+        return known
+
+    def move(self, state: int, byte: int) -> int:
+        """Makes a transition, to the next state with the tokens that have become final; returns its entry in `moves`."""
+        places, here, step, starts = [], None, bytes((byte,)), self.starts
         for since, last, pending in self.states[state]:
             grown = since + step
-            token = self.ranks.get(grown)
-            if here is None and token is not None and self.compatible(last, token):
+            kind = starts.get(grown)
+            if kind is None:
+                continue
+            if kind > 1 and here is None and self.compatible(last, (kind >> 1) - 1):
+                token = (kind >> 1) - 1
                 here = (b"", token, (*pending, token))
-            if grown in self.starts:
+            if kind & 1:
                 places.append((grown, last, pending))
         places.append(here)
-        first = min((p[2] for p in places), key=len)
-        shared = 0
-        while shared < len(first) and all(p[2][shared] == first[shared] for p in places):
-            shared += 1
-        target = tuple((since, last, pending[shared:]) for since, last, pending in places)
-        if target not in self.ids:
-            self.ids[target] = len(self.states)
+        first, shared = here[2], 0
+        if places[0][2] is not first and places[0][2][:1] == first[:1]:
+            shared = min(len(p[2]) for p in places)
+            for p in places:
+                while p[2][:shared] != first[:shared]:
+                    shared -= 1
+        elif len(places) == 1:
+            shared = len(first)
+        if shared:
+            places = [(since, last, pending[shared:]) for since, last, pending in places]
+        target = tuple(places)
+        known = self.ids.setdefault(target, len(self.states))
+        if known == len(self.states):
             self.states.append(target)
-        return self.ids[target], first[:shared]
+        if shared:
+            self.emitting.append((known, first[:shared]))
+            known = ~(len(self.emitting) - 1)
+        self.moves[state << 8 | byte] = known
+        return known
 
     def tokens(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
         if len(self.moves) > MAX_TRANSITIONS:
             self.reset()
-        state, out, moves = 0, [], self.moves
+        state, out, get = 0, [], self.moves.get
         for byte in piece:
-            move = moves.get((state, byte))
-            if move is None:
-                move = moves[state, byte] = self.move(state, byte)
-            state, emitted = move
-            out += emitted
-            if len(moves) > 2 * MAX_TRANSITIONS:  # one endless piece: keep only the state it is in
-                kept = self.states[state]
-                self.reset()
-                moves = self.moves
-                state = self.ids.setdefault(kept, len(self.states))
-                self.states += [kept] * (state == len(self.states))
-        return out + list(self.states[state][-1][2])
+            entry = get(state << 8 | byte)
+            if entry is None:
+                if len(self.moves) > 2 * MAX_TRANSITIONS:  # one endless piece: keep only the state it is in
+                    kept = self.states[state]
+                    self.reset()
+                    get = self.moves.get
+                    state = self.ids.setdefault(kept, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(kept)
+                entry = self.move(state, byte)
+            if entry >= 0:
+                state = entry
+            else:
+                state, emitted = self.emitting[~entry]
+                out += emitted
+        out += self.states[state][-1][2]
+        return out
 
 
 class Pieces(dict):
-    """Tokens of short pieces by text, filled by the transducer."""
+    """Tokens of short pieces by text, filled by the transducer; what has not been asked for lately is dropped."""
 
     def __init__(self, transducer: Transducer):
         self.transducer = transducer
+        self.older: dict = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.transducer.tokens(piece.encode()))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = tuple(self.transducer.tokens(piece.encode()))
         if len(piece) <= LONG_PIECE:
             if len(self) >= MAX_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -203,22 +263,29 @@ def vocabulary(spark: SparkSession, path: str | None = None):
         return spark.sparkContext.broadcast(file.read())
 
 
+def _rows(docs: DataFrame, text_col: str) -> DataFrame:
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(None).cast("int").alias("_none")]
+    return docs.select(F.struct(*others).alias("row"), whole(text_col).alias("text"))
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+
+
 def encode(docs: DataFrame, text_col: str = "text", ranks=None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(row, ids): `row` is a struct of all columns but the text, so no name can clash; ids array<int>.
 
     Each match of `pattern` is encoded on its own, special tokens are ordinary text. A null text is empty and has no ids.
     """
     held = ranks or vocabulary(docs.sparkSession)
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(None).cast("int").alias("_none")]
-    work = docs.select(F.struct(*others).alias("row"), whole(text_col).alias("text"))
+    work = _rows(docs, text_col)
 
     def run(batches):
         encoder = _encoder(held.value, pattern)
         for batch in (part for b in batches for part in slices(b, 1)):
             ids = [encoder.encode(text.as_py()) for text in batch.column(1)]
-            offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["row", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["row", "ids"])
 
     return work.mapInArrow(run, f"row {work.schema['row'].dataType.simpleString()}, ids array<int>")
 
@@ -237,10 +304,23 @@ def decode(encoded: DataFrame, ranks=None) -> DataFrame:
     return kept.mapInArrow(run, f"row {kept.schema['row'].dataType.simpleString()}, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, text_col: str = "text", ranks=None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """`decode(encode(docs))` in one pass of the same process: (row, ids, text)."""
+    held = ranks or vocabulary(docs.sparkSession)
+    work = _rows(docs, text_col)
+
+    def run(batches):
+        encoder, decoder = _encoder(held.value, pattern), _decoder(held.value)
+        for batch in (part for b in batches for part in slices(b, 1)):
+            ids = [encoder.encode(text.as_py()) for text in batch.column(1)]
+            texts = pa.array([decoder.decode(x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids), texts], ["row", "ids", "text"])
+
+    return work.mapInArrow(run, f"row {work.schema['row'].dataType.simpleString()}, ids array<int>, text string")
+
+
 def op1_byte_bpe(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ranks = vocabulary(spark)
-    done = decode(encode(docs, ranks=ranks), ranks)
+    done = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

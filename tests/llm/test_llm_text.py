@@ -46,13 +46,31 @@ def test_tables_may_be_dropped_any_time(monkeypatch):
         assert ids.tolist() == ORACLE.encode_ordinary(text) and DECODER.decode(ids) == text
 
 
+def test_compatible_pairs_by_merging():
+    def merged(data):
+        parts = [data[i:i + 1] for i in range(len(data))]
+        while len(parts) > 1:
+            rank, at = min((RANKS.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if rank == 1 << 60:
+                break
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        return [RANKS[p] for p in parts]
+
+    machine, rng = bpe.Transducer(RANKS), random.Random(6)
+    tokens = [rng.choice((rng.randrange(300), rng.randrange(3000), rng.randrange(len(RANKS)))) for _ in range(8000)]
+    for left, right in zip(tokens, tokens[1:]):
+        assert machine.compatible(left, right) == (merged(machine.bytes_of[left] + machine.bytes_of[right]) == [left, right])
+
+
 def test_lookahead_is_bounded():
     """Tokens leave the transducer while a long piece is still being read."""
     machine = bpe.Transducer(RANKS)
     state, out = 0, []
     for byte in b"abcdefgh" * 200:
-        state, emitted = machine.move(state, byte)
-        out += emitted
+        state = machine.move(state, byte)
+        if state < 0:
+            state, emitted = machine.emitting[~state]
+            out += emitted
     assert len(out) > 300 and all(len(p[2]) < 40 for p in machine.states[state])
 
 
@@ -69,6 +87,8 @@ def test_encode_and_decode(spark):
     rows = [(1, "hello world"), (1, "hello world"), (None, None), (3, ""), (4, "日本 " * 50_000)]
     got = bpe.decode(bpe.encode(documents(spark, rows))).collect()
     assert sorted((str(r.row.doc_id), r.ids, r.text) for r in got) == sorted((str(d), ORACLE.encode_ordinary(t or ""), t or "") for d, t in rows)
+    both = bpe.round_trip(documents(spark, rows)).collect()
+    assert sorted(map(str, both)) == sorted(map(str, got)) and bpe.round_trip(documents(spark, [])).collect() == []
     assert got[0].row.row == "row" and bpe.encode(documents(spark, [])).collect() == []
 
 
