@@ -158,6 +158,34 @@ def test_language_cases(spark):
     assert nothing is None and {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_model_keeps_all_ngrams(spark):
+    rng = np.random.default_rng(6)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 260_000)))
+    train = spark.createDataFrame([(i, text[at:at + 10_000], "zh") for i, at in enumerate(range(0, len(text), 10_000))],
+                                  "doc_id long, text string, lang string")
+    kept = train.filter("coalesce(pmod(xxhash64(doc_id), 10) != 0, true)").collect()
+    grams = {f"   {r.text} "[i:i + 4] for r in kept for i in range(len(r.text) + 1)}
+    model = langid.fit(train)
+    assert len(grams) > 200_000 and len(model.levels[3].keys) == len(grams)
+
+
+def test_language_tables_equal_the_local_model(spark, monkeypatch):
+    train = spark.createDataFrame(lang_rows() + [(500, None, "aa"), (501, "abc", None), (None, "vwx", "zz"), (502, "é日 abc", "mm")],
+                                  "doc_id long, text string, lang string")
+    local, tables = langid.fit(train), langid.fit(train, 0)
+    assert isinstance(tables, langid.TableModel) and tables.langs == local.langs
+    assert tables.judge.sharpness == local.sharpness and np.allclose(tables.judge.usual, local.usual, rtol=1e-4)
+    texts = ["abcde badce edcba", "ZYXvw", None, "", "123 !?", "漢字 日", "a" * 3000, "zz 12 zz", "  x", "ZYXvw", "é"]
+    docs = spark.createDataFrame([((i,), t) for i, t in enumerate(texts)] + [((None,), "bad")], "`row` struct<score:int>, text string")
+    want = sorted(langid.predict(docs, local).collect(), key=str)
+    for reply in (langid.REPLY_BYTES, 7 * 40, 40):  # whole texts, pieces of 7 letters, of one
+        monkeypatch.setattr(langid, "REPLY_BYTES", reply)
+        got = sorted(langid.predict(docs, tables).collect(), key=str)
+        key = lambda r: (str(r.row.score), r.lang_pred, r.rejected)
+        assert sorted(map(key, got)) == sorted(map(key, want))
+        assert np.allclose([r.score for r in sorted(got, key=key)], [r.score for r in sorted(want, key=key)], atol=1e-4)
+
+
 def test_language_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     grams = np.unique(rng.integers(97, 103, (300, 4)), axis=0)
