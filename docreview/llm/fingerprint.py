@@ -1,7 +1,8 @@
 """Homomorphic multiset hash of a document: the sum, modulo powers of two, of wide vectors hashed from its paragraphs.
 
 A paragraph is a line. Its vector has `EXACT` words hashed from the whole line, `LANES` counters of the bits of the hashes
-of its pieces (three consecutive words at most) and the number of pieces. Vectors add word by word modulo 2^60, so the
+of its pieces and the number of pieces. Every word begins a piece: the word and the two after it, or fewer at the end of
+the line, so that a word inserted or deleted changes three pieces at most beside its own. Vectors add word by word modulo 2^60, so the
 order of paragraphs does not matter, and a paragraph is inserted or deleted by adding or subtracting its vector. Equality
 rests on the whole-line words; the counters, as a random projection of the multiset of pieces, give a likeness.
 """
@@ -16,12 +17,16 @@ from docreview.llm.common import cut, table, whole
 BITS = 60
 MASK = (1 << BITS) - 1
 EXACT = 4
-PER_WORD = 3
-"""Counters in a word, 20 bits each. A counter that overflows carries into the next, which changes no equality."""
+PER_WORD, COUNTER_BITS = 3, 20
+"""Counters in a word and their bits. A counter that overflows carries into the next, which changes no equality."""
 WORDS = 20
 LANES = PER_WORD * WORDS
-SPREAD = sum(1 << (i * WORDS) for i in range(PER_WORD))
-PIECE = r"[^\x20\x09-\x0D]++(?:[\x20\x09\x0B-\x0D]++[^\x20\x09-\x0D]++){0,2}+"
+PIECE = r"(?=([^\x20\x09-\x0D]++(?:[\x20\x09\x0B-\x0D]++[^\x20\x09-\x0D]++){0,2}+))[^\x20\x09-\x0D]++"
+"""Takes one word and looks ahead for its piece, the first group."""
+BLOCK = 1000
+"""Pieces that the first tallies hold: ten words with six counters of 10 bits each."""
+TALLIES, TALLY_BITS = 10, 10
+TALLY_SPREAD = sum(1 << (i * TALLY_BITS) for i in range(BITS // TALLY_BITS))
 
 
 def _summed(items: Column, start: Column, step) -> Column:
@@ -38,13 +43,53 @@ def _right(value: Column, by: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """array<long> of EXACT + 20 + 1 words; null and empty texts have one empty paragraph without pieces."""
+    """array<long> of EXACT + WORDS + 1 words; null and empty texts have one empty paragraph without pieces."""
     text = F.coalesce(text, F.lit(""))
     lines = _summed(F.split(text, "\n", -1), _zeros(EXACT), lambda a, j, line: a + F.xxhash64(line, j).bitwiseAND(F.lit(MASK)))
-    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
-    hashes = F.transform(pieces, lambda p: F.xxhash64(p))
-    lanes = _summed(hashes, _zeros(WORDS), lambda a, j, h: a + _right(h, j).bitwiseAND(F.lit(SPREAD)))
-    return F.concat(lines, lanes, F.array(F.size(pieces).cast("long")))
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(1))
+    return F.concat(lines, _counted(F.transform(pieces, lambda p: F.xxhash64(p))))
+
+
+def _let(value: Column, then) -> Column:
+    """`then(value)`, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _counted(hashes: Column) -> Column:
+    """The counters of the low 60 bits of the hashes, and the number of hashes.
+
+    Bits are tallied in blocks in narrow counters, ten additions a hash, and the blocks are added up in the wide ones.
+    Counter i of word j counts bit j + WORDS * i.
+    """
+    def tallies(block: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(TALLIES - 1)), lambda j: F.aggregate(
+            block, F.lit(0).cast("long"), lambda a, h: a + _right(h, j).bitwiseAND(F.lit(TALLY_SPREAD))))
+
+    def blocks(held: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor(F.size(held) / F.lit(BLOCK)).cast("int"))
+        return F.transform(at, lambda i: F.slice(held, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def tally(words: Column, bit: int) -> Column:
+        word = F.get(words, F.lit(bit % TALLIES))
+        return F.shiftright(word, bit // TALLIES * TALLY_BITS).bitwiseAND(F.lit((1 << TALLY_BITS) - 1))
+
+    def widened(words: Column) -> Column:
+        out = []
+        for j in range(WORDS):
+            counters = [F.shiftleft(tally(words, j + WORDS * i), i * COUNTER_BITS) for i in range(PER_WORD)]
+            out.append(sum(counters[1:], counters[0]))
+        return F.array(*out)
+
+    def lanes(held: Column) -> Column:
+        wide = F.transform(F.transform(blocks(held), tallies), widened)
+        return F.concat(_summed_words(wide), F.array(F.size(held).cast("long")))
+
+    return _let(hashes, lanes)
+
+
+def _summed_words(rows: Column) -> Column:
+    """Sum of arrays of WORDS words, modulo 2^60."""
+    return F.aggregate(rows, _zeros(WORDS), lambda acc, x: F.zip_with(acc, x, lambda a, b: (a + b).bitwiseAND(F.lit(MASK))))
 
 
 def combine(left: Column, right: Column, sign: int = 1) -> Column:
@@ -62,11 +107,11 @@ def likeness(left: Column, right: Column) -> Column:
     A counter c among n pieces stands for the projection 2c - n. Products of projections estimate inner products with a
     relative error of about 1 / sqrt(LANES).
     """
-    low = F.lit((1 << WORDS) - 1)
+    low = F.lit((1 << COUNTER_BITS) - 1)
 
     def projected(words: Column) -> Column:
         counters = F.flatten(F.transform(F.slice(words, EXACT + 1, WORDS), lambda w: F.array(
-            *[F.shiftright(w, i * WORDS).bitwiseAND(low) for i in range(PER_WORD)])))
+            *[F.shiftright(w, i * COUNTER_BITS).bitwiseAND(low) for i in range(PER_WORD)])))
         pieces = F.element_at(words, -1).cast("double")
         return F.transform(counters, lambda c: 2 * c.cast("double") - pieces)
 

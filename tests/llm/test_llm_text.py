@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -105,6 +107,33 @@ def test_fingerprint_is_a_multiset_hash(spark):
     assert added == a and removed == c
 
 
+def brute_pieces(text):
+    lines = [re.findall(r"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+|$)", x) for x in (text or "").split("\n")]
+    return Counter("".join(w[i:i + 3]).rstrip(" \t\x0b\x0c\r") for w in lines for i in range(len(w)))
+
+
+def test_likeness_by_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10 ** 6)}" for _ in range(40)]
+    texts = {"plain": " ".join(words), "front": " ".join(["new", *words]), "gone": " ".join(words[1:]), "other": " ".join(words[20:] * 2),
+             "lines": "\n ".join(words[:20]) + "\n\n" + "  ".join(words[20:]), "short": "a b", "none": "", "long": " x\ty " * 1500}
+    got = dict(zip(texts, prints(spark, list(texts.values()))))
+    pieces = {k: brute_pieces(t) for k, t in texts.items()}
+    assert all(got[k][-1] == sum(pieces[k].values()) for k in texts)
+    pairs = list(itertools.product(texts, repeat=2))
+    rows = spark.createDataFrame([(i, got[a], got[b]) for i, (a, b) in enumerate(pairs)], "i int, a array<long>, b array<long>")
+    near = dict(rows.select("i", fingerprint.likeness(F.col("a"), F.col("b"))).collect())
+    for i, (a, b) in enumerate(pairs):
+        x, y = pieces[a], pieces[b]
+        xy, sq = sum(x[p] * y[p] for p in x), sum(n * n for n in [*x.values(), *y.values()])
+        assert abs(near[i] - (xy / (sq - xy) if sq > xy else 1)) < 0.4, (a, b)
+    assert near[pairs.index(("plain", "front"))] > 0.8 and near[pairs.index(("plain", "gone"))] > 0.8
+    counters = [(w >> (i * fingerprint.COUNTER_BITS)) & ((1 << fingerprint.COUNTER_BITS) - 1)
+                for i in range(fingerprint.PER_WORD) for w in got["long"][fingerprint.EXACT:-1]]
+    listed = spark.createDataFrame([(p,) for p in pieces["long"].elements()], "p string").select(F.xxhash64("p")).collect()
+    assert counters == [sum(h[0] >> bit & 1 for h in listed) for bit in range(fingerprint.LANES)]
+
+
 def test_edited_texts(spark):
     rows = [(10, "abcdefgh" * 30), (3, "x"), (7, None), (5, "é日" * 50), (20, "first words of another text entirely"), (-4, "word " * 30_000)]
     got = {r.doc_id: r for r in fingerprint.edited_fingerprints(documents(spark, rows)).collect()}
