@@ -17,9 +17,10 @@ from docreview.llm.common import cut, table, whole
 BITS = 60
 MASK = (1 << BITS) - 1
 EXACT = 4
-PER_WORD, COUNTER_BITS = 3, 20
-"""Counters in a word and their bits. A counter that overflows carries into the next, which changes no equality."""
-WORDS = 20
+PER_WORD, COUNTER_BITS = 2, 30
+"""Counters in a word and their bits. No text of less than 2^31 bytes, the bound of a row, has 2^30 words, so its counters do
+not overflow. In sums of more than that a counter carries into the next, which changes no equality, only the likeness."""
+WORDS = 30
 LANES = PER_WORD * WORDS
 PIECE = r"(?=([^\x20\x09-\x0D]++(?:[\x20\x09\x0B-\x0D]++[^\x20\x09-\x0D]++){0,2}+))[^\x20\x09-\x0D]++"
 """Takes one word and looks ahead for its piece, the first group."""

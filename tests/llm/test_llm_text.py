@@ -134,6 +134,15 @@ def test_likeness_by_brute_force(spark):
     assert counters == [sum(h[0] >> bit & 1 for h in listed) for bit in range(fingerprint.LANES)]
 
 
+def test_likeness_of_long_texts(spark):
+    n = 1_200_000  # more than 2^20
+    a, b = prints(spark, ["a " * n, "b c d " * 1000 + "a " * n])
+    counters = [(w >> (i * fingerprint.COUNTER_BITS)) & ((1 << fingerprint.COUNTER_BITS) - 1)
+                for i in range(fingerprint.PER_WORD) for w in a[fingerprint.EXACT:-1]]
+    assert a[-1] == n and all(c <= 2 or n - 2 <= c <= n for c in counters) and {c > 2 for c in counters} == {True, False}
+    assert spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(fingerprint.likeness(F.col("a"), F.col("b"))).first()[0] > 0.99
+
+
 def test_edited_texts(spark):
     rows = [(10, "abcdefgh" * 30), (3, "x"), (7, None), (5, "é日" * 50), (20, "first words of another text entirely"), (-4, "word " * 30_000)]
     got = {r.doc_id: r for r in fingerprint.edited_fingerprints(documents(spark, rows)).collect()}
