@@ -167,11 +167,17 @@ def train_chain(texts: list[bytes], labels: np.ndarray, steps: int = STEPS) -> C
     return chain
 
 
+def thinned(rows: DataFrame) -> DataFrame:
+    """The rows with the MAX_TRAINING_DOCS smallest hashes of doc_id, all if there are fewer, and rows of the same hash as
+    the last. Rows thinned already stay as they are."""
+    order = F.xxhash64("doc_id")
+    last = rows.select(order.alias("h")).orderBy("h").limit(MAX_TRAINING_DOCS).agg(F.max("h")).first()[0]
+    return rows.filter(order <= F.lit(last).cast("long"))
+
+
 def fit(labelled: DataFrame) -> Chain | None:
     """Chain fitted on `labelled(doc_id, text, quality)`, at most about MAX_TRAINING_DOCS of its rows, chosen by hash."""
-    rows = labelled.filter("quality IS NOT NULL")
-    every = max(1, -(-rows.count() // MAX_TRAINING_DOCS))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(whole("text").cast("binary").alias("text"), "quality")
+    sample = thinned(labelled.filter("quality IS NOT NULL")).select(whole("text").cast("binary").alias("text"), "quality")
     held = sample.limit(2 * MAX_TRAINING_DOCS).toArrow()
     if not held.num_rows:
         return None
@@ -201,9 +207,8 @@ def score(docs: DataFrame, chain: Chain | None, keep_text: bool = False) -> Data
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Training rows: documents with a label whose remainder is not 2. Labels that name a document twice count twice."""
     wanted = labels.select("doc_id", "quality").filter((remainder(F.col("doc_id"), 4) != 2) & F.col("quality").isNotNull())
-    every = max(1, -(-wanted.count() // MAX_TRAINING_DOCS))
-    wanted = wanted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)  # about MAX_TRAINING_DOCS rows, so a bounded broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    # About MAX_TRAINING_DOCS rows, so a bounded broadcast.
+    return docs.select("doc_id", "text").join(F.broadcast(thinned(wanted)), "doc_id")
 
 
 def op8_quality(spark, sf_dir):

@@ -302,3 +302,14 @@ def test_chat(spark):
 def test_chat_empty(spark):
     empty = chat_rows(spark, [])
     assert chat.format_preferences(empty, empty).collect() == []
+
+
+def test_quality_sample_is_thinned_once(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_TRAINING_DOCS", 100)
+    monkeypatch.setattr(quality, "train_chain", lambda texts, labels: len(texts))
+    docs = spark.createDataFrame([(i, f"text {i}", i % 2) for i in range(900)], "doc_id long, text string, quality int")
+    usable = docs.filter(quality.remainder(F.col("doc_id"), 4) != 2).orderBy("doc_id")
+    for n in (99, 100, 101, 104, 210, 310, 600):  # a little above the bound, and with odd divisors
+        rows = usable.limit(n)
+        chosen = quality.labelled_rows(docs.select("doc_id", "text"), rows.select("doc_id", "quality"))
+        assert chosen.count() == quality.fit(chosen) == quality.fit(rows) == min(n, 100)
