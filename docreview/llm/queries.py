@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docreview.llm import bpe, chat, exact_dedup, fingerprint, langid, line_dedup, minhash, mixing, quality, warc
+from docreview.llm import alignment, bpe, chat, exact_dedup, fingerprint, langid, line_dedup, minhash, mixing, quality, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_format_preferences": chat.op9_format_preferences,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLES = {"op5_warc": warc.SQL, "op3_line_dedup": line_dedup.SQL, "op9_format_preferences": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
