@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from docreview.llm import alignment, bpe, chat, exact_dedup, fingerprint, langid, line_dedup, minhash, mixing, quality, warc
+from docreview.llm import (alignment, bpe, chat, exact_dedup, fingerprint, langid, line_dedup, minhash, mixing, quality,
+                           repair, warc)
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_format_preferences": chat.op9_format_preferences,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op12_repair": repair.op12_repair,
     "op13_alignment": alignment.op13_alignment,
 }
 ORACLES = {"op5_warc": warc.SQL, "op3_line_dedup": line_dedup.SQL, "op9_format_preferences": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}

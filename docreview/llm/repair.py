@@ -32,26 +32,28 @@ FORCED, OPEN = 4, 8
 _ROLE_CODE = {"s": 1, "u": 2, "a": 3}
 
 
-def suffix_bounds(codes: bytes) -> tuple[list[int], list[int]]:
-    """Least cost of the rows from i on when a user, or an assistant, is expected; the end is free."""
-    user, assistant = [0] * (len(codes) + 1), [0] * (len(codes) + 1)
+def suffix_bounds(codes: bytes) -> tuple[list[int], list[int], list[int]]:
+    """Least cost of the rows from i on at the start, and when a user or an assistant is expected; the end is free."""
+    start, user, assistant = ([0] * (len(codes) + 1) for _ in range(3))
     for i in range(len(codes) - 1, -1, -1):
         code, next_user, next_assistant = codes[i], user[i + 1], assistant[i + 1]
-        u, a = DELETE + next_user, DELETE + next_assistant
+        u, a, system = DELETE + next_user, DELETE + next_assistant, DELETE + start[i + 1]
         if not code & FORCED:
             stays, role = OPEN_END if code & OPEN else 0, code & 3
             u = min(u, next_assistant + stays + (0 if role == 2 else REROLE))
             a = min(a, next_user + stays + (0 if role == 3 else REROLE))
+            if role == 1:
+                system = min(system, next_user + stays)
         user[i], assistant[i] = min(u, INSERT + a), min(a, INSERT + u)
-    return user, assistant
+        start[i] = min(system, user[i])
+    return start, user, assistant
 
 
 def search(codes: bytes) -> tuple[int, str]:
     """(cost, audit) of the cheapest repair of rows given by their codes, the ASCII-least audit among equals."""
     n = len(codes)
-    user, assistant = suffix_bounds(codes)
-    # From the start a system row may be kept, which saves at most a deletion against the bound for a user.
-    bounds = ([max(0, x - DELETE) for x in user], user, assistant, user)
+    start, user, assistant = suffix_bounds(codes)
+    bounds = (start, user, assistant, user)
 
     def children(i: int, state: int) -> list[tuple[str, int, int, int]]:
         out = []
@@ -156,7 +158,8 @@ def find_repairs(turns: DataFrame) -> DataFrame:
     Rows go by turn, nulls first, ties by role and SHA-256 of the text; null role and text are one space; rows whose `present`
     is false or null only say that the conversation exists. A null conv_id is a conversation. First fault of a row: blank
     (nothing but ASCII white space), duplicate (role and text seen earlier), truncated (last visible character not `.!?`).
-    A conversation without rows costs 0. Other columns are not read. Memory: about 60 bytes per row of a conversation.
+    A conversation without rows costs 0. Other columns are not read. Memory: some 400 bytes per row of a
+    conversation, whatever its texts.
     """
     last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z", 1)
     work = _rows(turns).select(
