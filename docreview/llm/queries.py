@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docreview.llm import (alignment, bpe, chat, exact_dedup, fingerprint, langid, line_dedup, minhash, mixing, quality,
+from docreview.llm import (alignment, bpe, chat, exact_dedup, fingerprint, langid, line_dedup, minhash, mixing, pii, quality,
                            repair, warc)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_format_preferences": chat.op9_format_preferences,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_pii": pii.op11_pii,
     "op12_repair": repair.op12_repair,
     "op13_alignment": alignment.op13_alignment,
 }
