@@ -60,7 +60,7 @@ def parts_of(text: Column, kind: int, pattern: str, base: bool) -> Column:
     """array<struct<kind, base, pos, gap, size, hit, before, after>>: the leftmost matches that do not overlap, in order."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(pieces, hits, lambda p, h: F.struct(p.alias("p"), h.alias("h")))
-    after = F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1)))
+    after = F.slice(pieces, 2, 1 << 30)
     found = F.zip_with(both, after, lambda x, n: F.struct(
         F.lit(kind).alias("kind"), F.lit(base).alias("base"), F.length(x["p"]).cast("long").alias("gap"), F.length(x["h"]).cast("long").alias("size"),
         x["h"].alias("hit"), F.substring(x["p"], -WINDOW, WINDOW).alias("before"), F.substring(n, 1, 1).alias("after")))
@@ -73,10 +73,10 @@ def _digits() -> Column:
 
 def _luhn(digits: Column) -> Column:
     """Whether 14 to 19 digits pass the checksum."""
-    one = lambda i: F.substring(digits, -i, F.lit(1)).cast("int")
     doubled = lambda d: F.when(d > 4, d * 2 - 9).otherwise(d * 2)
-    total = sum((F.when(F.length(digits) >= i, one(F.lit(i)) if i % 2 else doubled(one(F.lit(i)))).otherwise(0) for i in range(1, 20)), F.lit(0))
-    return F.length(digits).between(14, 19) & (total % 10 == 0)
+    worth = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(doubled(d.cast("int"))))
+    passes = F.aggregate(worth, F.lit(0), lambda total, d: total + d) % 10 == 0
+    return F.when(F.length(digits).between(14, 19), passes).otherwise(F.lit(False))
 
 
 def _by_kind(values: dict[str, Column]) -> Column:
@@ -175,8 +175,7 @@ def thresholds(scored: list[tuple[int, float, int, int]]) -> dict[int, float]:
 
 def fit(spans: DataFrame) -> tuple[list[dict], dict[int, float]]:
     """Trees and thresholds from the base matches of `spans` (with features); ([], {}) where all hold or all fail."""
-    held = F.pmod(F.xxhash64("hit"), F.lit(HELD_OUT)) == 0
-    counts = spans.filter("base").groupBy(*LEVELS, held.alias("held")).agg(
+    counts = spans.filter("base").groupBy(*LEVELS, "held").agg(
         F.sum(F.col("holds").cast("long")).alias("good"), F.sum((~F.col("holds")).cast("long")).alias("bad"))
     rows = sorted(counts.collect())
     train, rest = [r for r in rows if not r.held], [r for r in rows if r.held]
@@ -195,10 +194,13 @@ def fit(spans: DataFrame) -> tuple[list[dict], dict[int, float]]:
 
 
 def find_spans(rows: DataFrame) -> DataFrame:
-    """(key, kind, base, start, end, hit, ...features) of rows(key, parts): offsets are code points, `end` is exclusive."""
+    """(key, base, start, end, holds, held, ...features) of rows(key, parts): offsets are code points, `end` is exclusive; `held`
+    marks what calibrates."""
     spans = rows.select("key", F.posexplode("parts").alias("pos", "p")).select("key", "pos", "p.*")
     upto = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("key", "kind", "base").orderBy("pos"))
-    return with_features(spans.withColumn("end", upto).withColumn("start", F.col("end") - F.col("size")))
+    found = with_features(spans.withColumn("end", upto).withColumn("start", F.col("end") - F.col("size")))
+    held = F.pmod(F.xxhash64("hit"), F.lit(HELD_OUT)) == 0
+    return found.select("key", "base", "start", "end", "holds", held.alias("held"), *LEVELS)
 
 
 def accepted(spans: DataFrame, trees: list[dict], least: dict[int, float]) -> DataFrame:
@@ -231,7 +233,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     struct<start, kind, end, base, score> by start and kind, kind being a place in KINDS.
 
     A null or empty text has an empty array, an empty table no rows; repeated rows and ids are rows of their own. Texts are read
-    whole and shuffled nowhere: a table of matches in the shared folder holds what the rest needs.
+    whole and shuffled nowhere: two tables in the shared folder, of matches and of their features, hold what the rest needs.
     """
     spark = docs.sparkSession
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(None).cast("int").alias("_none")]
@@ -242,9 +244,10 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     parts = [F.when(gates.get(k, some), parts_of(F.col("text"), i, found[k], found is BASE)).otherwise(none)
              for found in (BASE, GENERATORS) for i, k in enumerate(KINDS)]
     folder = f"{shared_dir(spark).rstrip('/')}/pii-{uuid.uuid4().hex}"
-    work.select(F.monotonically_increasing_id().alias("key"), "row", F.concat(*parts).alias("parts")).write.parquet(folder)
-    rows = spark.read.parquet(folder)
-    spans = find_spans(rows.select("key", "parts"))
+    work.select(F.monotonically_increasing_id().alias("key"), "row", F.concat(*parts).alias("parts")).write.parquet(f"{folder}/matches")
+    rows = spark.read.parquet(f"{folder}/matches")
+    find_spans(rows.select("key", "parts")).write.parquet(f"{folder}/features")
+    spans = spark.read.parquet(f"{folder}/features")
     kept = accepted(spans, *fit(spans))
     lists = kept.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "base", "score"))).alias("spans"))
     done = rows.select("key", "row").join(lists, "key", "left")
