@@ -10,7 +10,9 @@ States and transitions are made when first met and shared by all texts of a task
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain, islice
 
@@ -257,6 +259,17 @@ def _decoder(data: bytes) -> Decoder:
     return Decoder(read_ranks(data))
 
 
+@contextmanager
+def _tables():
+    """The tables of tokens and transitions end with the task: a worker process that goes on to other work keeps none."""
+    try:
+        yield
+    finally:
+        _encoder.cache_clear()
+        _decoder.cache_clear()
+        gc.collect()
+
+
 def vocabulary(spark: SparkSession, path: str | None = None):
     """The rank file, read on the driver and broadcast: its size is that of the vocabulary, under 1 MB here."""
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as file:
@@ -282,10 +295,12 @@ def encode(docs: DataFrame, text_col: str = "text", ranks=None, pattern: str = p
     work = _rows(docs, text_col)
 
     def run(batches):
-        encoder = _encoder(held.value, pattern)
-        for batch in (part for b in batches for part in slices(b, 1)):
-            ids = [encoder.encode(text.as_py()) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["row", "ids"])
+        with _tables():
+            encoder = _encoder(held.value, pattern)
+            for batch in (part for b in batches for part in slices(b, 1)):
+                ids = [encoder.encode(text.as_py()) for text in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["row", "ids"])
+            del encoder
 
     return work.mapInArrow(run, f"row {work.schema['row'].dataType.simpleString()}, ids array<int>")
 
@@ -295,10 +310,12 @@ def decode(encoded: DataFrame, ranks=None) -> DataFrame:
     held = ranks or vocabulary(encoded.sparkSession)
 
     def run(batches):
-        decoder = _decoder(held.value)
-        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
-            texts = [decoder.decode(x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32)) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("ids"), pa.array(texts, pa.string())], ["row", "ids", "text"])
+        with _tables():
+            decoder = _decoder(held.value)
+            for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+                texts = [decoder.decode(x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32)) for x in batch.column("ids")]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("ids"), pa.array(texts, pa.string())], ["row", "ids", "text"])
+            del decoder
 
     kept = encoded.select("row", "ids")
     return kept.mapInArrow(run, f"row {kept.schema['row'].dataType.simpleString()}, ids array<int>, text string")
@@ -310,11 +327,13 @@ def round_trip(docs: DataFrame, text_col: str = "text", ranks=None, pattern: str
     work = _rows(docs, text_col)
 
     def run(batches):
-        encoder, decoder = _encoder(held.value, pattern), _decoder(held.value)
-        for batch in (part for b in batches for part in slices(b, 1)):
-            ids = [encoder.encode(text.as_py()) for text in batch.column(1)]
-            texts = pa.array([decoder.decode(x) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids), texts], ["row", "ids", "text"])
+        with _tables():
+            encoder, decoder = _encoder(held.value, pattern), _decoder(held.value)
+            for batch in (part for b in batches for part in slices(b, 1)):
+                ids = [encoder.encode(text.as_py()) for text in batch.column(1)]
+                texts = pa.array([decoder.decode(x) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids), texts], ["row", "ids", "text"])
+            del encoder, decoder
 
     return work.mapInArrow(run, f"row {work.schema['row'].dataType.simpleString()}, ids array<int>, text string")
 

@@ -48,6 +48,16 @@ def test_tables_may_be_dropped_any_time(monkeypatch):
         assert ids.tolist() == ORACLE.encode_ordinary(text) and DECODER.decode(ids) == text
 
 
+def test_tables_end_with_the_task():
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as file:
+        data = file.read()
+    with pytest.raises(KeyError), bpe._tables():
+        bpe._encoder(data, public_tokenizers.PATTERN).encode("words of a text")
+        bpe._decoder(data)
+        raise KeyError
+    assert bpe._encoder.cache_info().currsize == bpe._decoder.cache_info().currsize == 0
+
+
 def test_compatible_pairs_by_merging():
     def merged(data):
         parts = [data[i:i + 1] for i in range(len(data))]
