@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -17,9 +18,11 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a private one only where the session names none, as in tests."""
+    """The folder of `spark.checkpoint.dir`; a private one only in local mode, where the driver's folder is everybody's."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="llm-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -73,18 +76,26 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str, salts: i
     return left.join(asked.join(right, key), [key, "_salt"], "left").drop("_salt")
 
 
-def marked(rows: DataFrame, key: str, wanted: DataFrame, slots: int = 1 << 24) -> DataFrame:
-    """The rows whose `key` may be in `wanted(key)`: a Bloom filter of fixed size (`slots` / 8 bytes, broadcast) passes all
-    members and few others, so that a join behind it does not shuffle the whole table."""
+def spotted(rows: DataFrame, key: str, wanted: DataFrame, slots: int = 1 << 24) -> DataFrame:
+    """The rows with `spotted`: whether their `key` may be in `wanted(key)`. A Bloom filter of fixed size (`slots` / 8 bytes,
+    broadcast) spots all members and few others, so that a join behind it need not shuffle the whole table."""
     part = slots // 2
-    spots = lambda i: F.pmod(F.xxhash64(key, F.lit(i)), F.lit(part)) + F.lit(i * part + 1)
+    spots = lambda i: F.pmod(F.xxhash64(F.lit(i), key), F.lit(part)) + F.lit(i * part + 1)
     bitmaps = wanted.select(F.explode(F.array(spots(0), spots(1))).alias("slot")).groupBy(
         F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    seen = F.lit(True)
     for i in range(2):
         at = F.expr(f"bitmap_bit_position(_slot{i})")
         own = bitmaps.select(F.col("bucket").alias(f"_bucket{i}"), F.col("bits").alias(f"_bits{i}"))
         rows = rows.withColumn(f"_slot{i}", spots(i))
-        rows = rows.join(F.broadcast(own), F.expr(f"bitmap_bucket_number(_slot{i})") == F.col(f"_bucket{i}"))
+        rows = rows.join(F.broadcast(own), F.expr(f"bitmap_bucket_number(_slot{i})") == F.col(f"_bucket{i}"), "left")
         byte = F.conv(F.hex(F.substring(F.col(f"_bits{i}"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        rows = rows.filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1)
-    return rows.drop(*[f"_{x}{i}" for x in ("slot", "bucket", "bits") for i in range(2)])
+        seen = seen & (F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1)
+        rows = rows.withColumn(f"_seen{i}", F.coalesce(seen, F.lit(False))).drop(f"_bucket{i}", f"_bits{i}", f"_slot{i}")
+        seen = F.col(f"_seen{i}")
+    return rows.withColumn("spotted", F.col("_seen1")).drop("_seen0", "_seen1")
+
+
+def marked(rows: DataFrame, key: str, wanted: DataFrame, slots: int = 1 << 24) -> DataFrame:
+    """The rows whose `key` may be in `wanted(key)`; see spotted()."""
+    return spotted(rows, key, wanted, slots).filter("spotted").drop("spotted")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docreview.llm.common import cut, lookup, marked, slices, table, whole
+from docreview.llm.common import cut, lookup, marked, slices, spotted, table, whole
 
 BANDS, ROWS = 20, 4
 NO_ID = (1 << 63) - 1
@@ -96,7 +96,7 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc, n, a, b, keys) of `docs(doc, text)`: size and two sums that identify the set, and its band keys."""
+    """(doc, print, n, a, b, keys) of `docs(doc, text, print)`: size and two sums that identify the set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole_batch in batches for part in slices(whole_batch, 1)):
@@ -106,11 +106,11 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             keys = [band_keys(signature(s, bands * rows), bands) if len(s) else np.zeros(0, np.int64) for s in sets]
             offsets = pa.array(np.cumsum([0, *map(len, keys)], dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
                  pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64()))],
-                ["doc", "n", "a", "b", "keys"])
+                ["doc", "print", "n", "a", "b", "keys"])
 
-    return docs.mapInArrow(run, "doc long, n long, a long, b long, keys array<long>")
+    return docs.mapInArrow(run, "doc long, print long, n long, a long, b long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
@@ -239,29 +239,33 @@ def rest_stars(crowded: DataFrame, compared: DataFrame) -> DataFrame:
     return lookup(rest, firsts, "key", "rep").filter("rep <> first").select(F.col("first").alias("u"), F.col("rep").alias("v")).distinct()
 
 
-def near_components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc, n, root) for every row of `docs(doc, text)`: the set size and the smallest doc reachable over links.
+def near_rows(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, doc, print, n, root) for every row of `docs(doc, text)`; root is the smallest node reachable over links.
+
+    A node is a row: it gets a number of its own when the signatures are written, so rows that share a doc (or have none,
+    read as NO_ID) keep their own texts and links. (doc, print), the doc and a hash of the text, finds the row again in `docs`.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets. Texts without words are linked
-    with nothing; null texts are empty, a null doc comes after all others (and is null again in the result); rows that share
-    a doc are one node. Every pair that agrees on a band is confirmed or refuted, apart from pairs already known to be
-    connected; see pairs_beyond().
+    with nothing; null texts are empty. Every pair that agrees on a band is confirmed or refuted, apart from pairs already
+    known to be connected; see pairs_beyond().
     """
-    docs = docs.select(F.coalesce("doc", F.lit(NO_ID)).cast("long").alias("doc"), whole("text").alias("text"))
-    sigs = cut(signatures(docs, words, bands, rows))
-    shaped = sigs.withColumn("set", F.struct("n", "a", "b"))
-    classes = shaped.filter("n > 0").groupBy("set").agg(F.min("doc").alias("rep"))
-    members = cut(lookup(shaped.select("doc", "n", "set"), classes, "set", "doc").select(
-        "doc", "n", F.coalesce("rep", "doc").alias("rep")))
-    reps = cut(sigs.join(members.filter("rep = doc").select("doc", "n").distinct(), ["doc", "n"]).filter("n > 0")
-               .dropDuplicates(["doc", "n", "a", "b"]).select(F.col("doc").alias("rep"), "n", "keys"))
+    docs = docs.select(F.coalesce("doc", F.lit(NO_ID)).cast("long").alias("doc"), whole("text").alias("text")).withColumn(
+        "print", F.xxhash64("text"))
+    sigs = cut(signatures(docs, words, bands, rows).withColumn("node", F.monotonically_increasing_id()))
+    shaped = sigs.select("node", "doc", "print", "n", F.struct("n", "a", "b").alias("set"))
+    classes = shaped.filter("n > 0").groupBy("set").agg(F.min("node").alias("rep"))
+    members = cut(lookup(shaped, classes, "set", "node").select(
+        "node", "doc", "print", "n", F.coalesce("rep", "node").alias("rep")))
+    reps = cut(sigs.join(classes.select(F.col("rep").alias("node")), "node").select(F.col("node").alias("rep"), "doc", "print", "n", "keys"))
     entries = reps.select("rep", "n", F.explode("keys").alias("key"))
     leaders = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").drop("last")
     crowded = cut(lookup(entries, leaders, "key", "rep").filter("leader IS NOT NULL"))
     stars = cut(crowded.filter("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct())
-    asked = cut(crowded.select("rep").distinct())
-    texts = marked(docs, "doc", asked.select(F.col("rep").alias("doc"))).join(asked.withColumnRenamed("rep", "doc"), "doc", "left_semi")
-    sets = cut(sets_of(texts, words).dropDuplicates(["doc"]))
+    asked = cut(crowded.select("rep").distinct().join(reps.select("rep", "doc", "print"), "rep"))
+    mark = F.xxhash64("doc", "print")
+    texts = marked(docs.withColumn("mark", mark), "mark", asked.select(mark.alias("mark"))).groupBy("doc", "print").agg(
+        F.min("text").alias("text"))
+    sets = cut(sets_of(texts.join(asked, ["doc", "print"]).select(F.col("rep").alias("doc"), "text"), words))
     compared = cut(compare(stars, sets, percent))
     links = compared.filter("linked").select("u", "v")
     # The member nearest to its leader is nearest to what all copies come from: it leads the star once more. Members that
@@ -276,8 +280,39 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     more = compare(pairs, sets, percent).filter("linked").select("u", "v")
     roots = components(roots.select(F.col("root").alias("u"), "v").union(more))
     out = members.join(roots.withColumnRenamed("v", "rep"), "rep", "left")
-    back = lambda c: F.when(c != NO_ID, c)
-    return out.select(back(F.col("doc")).alias("doc"), "n", back(F.coalesce("root", "rep")).alias("root"))
+    return cut(out.select("node", "doc", "print", "n", F.coalesce("root", "rep").alias("root")))
+
+
+def near_components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc, n, root) for every row of `docs(doc, text)`: the set size and the smallest doc reachable over links.
+
+    A null doc comes after all others and is null again in the result. Rows that share a doc are rows of their own: each is
+    linked by its own text, so they may end in different components. See near_rows().
+    """
+    found = near_rows(docs, words, percent, bands, rows)
+    first = found.groupBy("root").agg(F.min("doc").alias("least"))
+    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias
+    return lookup(found, first, "root", "node").select(back("doc")("doc"), "n", back("least")("root"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` without those that an earlier row of their component stands for.
+
+    Of a component the row with the smallest `key` stays (null after all others, ties by a hash of the text, then by the
+    other columns as JSON). Rows in no group, texts without words among them, pass by without a shuffle of their texts.
+    """
+    found = near_rows(docs.select(F.col(key).alias("doc"), "text"), words, percent)
+    groups = found.groupBy("root").agg(F.count("*").alias("rows"), F.min(F.struct("doc", "print")).alias("first")).filter("rows > 1")
+    member = lookup(found.select("node", "doc", "print", "root"), groups, "root", "node").filter("first IS NOT NULL")
+    touched = cut(member.groupBy("doc", "print").agg(
+        F.max((F.col("first.doc") == F.col("doc")) & (F.col("first.print") == F.col("print"))).alias("stays")))
+    work = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(key, F.lit(NO_ID)).cast("long").alias("doc"),
+                       F.xxhash64(whole("text")).alias("print"))
+    work = spotted(work.withColumn("mark", F.xxhash64("doc", "print")), "mark", touched.select(F.xxhash64("doc", "print").alias("mark")))
+    met = work.filter("spotted").join(touched, ["doc", "print"], "left")
+    alone = work.filter("NOT spotted").select("row").union(met.filter("stays IS NULL").select("row"))
+    kept = met.filter("stays").groupBy("doc", "print").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return alone.union(kept).select("row.*")
 
 
 def op6_minhash(spark, sf_dir):

@@ -148,6 +148,27 @@ def test_near_null_ids_and_repeated_rows(spark):
     assert got == [((False, 2), 2), ((False, 4), 4), ((False, 4), 4), ((True, 0), 4)]
 
 
+def test_near_rows_that_share_an_id(spark):
+    """Each row is linked by its own text: a chain over an id with two texts, and rows without an id."""
+    rng = random.Random(11)
+    a, b, c = ([f"{x}{rng.randrange(10_000)}" for _ in range(60)] for x in "abc")
+    rows = [(1, a), (1, b), (2, [*b, "plus"]), (3, [*a, "plus"]), (None, c), (None, [*c, "plus"]), (None, b[:20]), (7, b[:20]), (7, [])]
+    docs = documents(spark, [(d, " ".join(w)) for d, w in rows], extra=False).withColumnRenamed("doc_id", "doc")
+    got = sorted((r.doc is None, r.doc or 0, r.n, r.root) for r in minhash.near_components(docs, 3, 85).collect() if r.root is not None)
+    assert got == [(False, 1, 58, 1), (False, 1, 58, 1), (False, 2, 59, 1), (False, 3, 59, 1), (False, 7, 0, 7), (False, 7, 18, 7), (True, 0, 18, 7)]
+    kept = minhash.one_of_each(documents(spark, [(d, " ".join(w)) for d, w in rows]), words=3, percent=85).collect()
+    size = sorted((r.doc_id is None, r.doc_id or 0, len(r.text.split())) for r in kept)
+    assert [x[:2] for x in size] == [(False, 1), (False, 1), (False, 7), (False, 7), (True, 0)]
+    assert kept[0].source == "src" and kept[0].row == "row" and len(kept[0]) == 7
+
+
+def test_one_of_each_repeated_rows(spark):
+    rows = [(1, "a b c d e f")] * 5 + [(None, "u v w x y z")] * 4 + [(5, "")] * 3 + [(6, None), (9, "alone in the world of texts")]
+    got = sorted((r.doc_id or 0, r.text or "") for r in minhash.one_of_each(documents(spark, rows)).collect())
+    assert got == [(0, "u v w x y z"), (1, "a b c d e f"), (5, ""), (5, ""), (5, ""), (6, ""), (9, "alone in the world of texts")]
+    assert minhash.one_of_each(documents(spark, [])).collect() == []
+
+
 def test_near_empty(spark):
     docs = documents(spark, [], extra=False).withColumnRenamed("doc_id", "doc")
     assert minhash.near_components(docs).collect() == []
