@@ -24,6 +24,8 @@ WORDS = 30
 LANES = PER_WORD * WORDS
 PIECE = r"(?=([^\x20\x09-\x0D]++(?:[\x20\x09\x0B-\x0D]++[^\x20\x09-\x0D]++){0,2}+))[^\x20\x09-\x0D]++"
 """Takes one word and looks ahead for its piece, the first group."""
+SALTS = 64
+"""Parts into which the rows that share an id are dealt."""
 BLOCK = 1000
 """Pieces that the first tallies hold: ten words with six counters of 10 bits each."""
 TALLIES, TALLY_BITS = 10, 10
@@ -44,9 +46,13 @@ def _right(value: Column, by: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """array<long> of EXACT + WORDS + 1 words; null and empty texts have one empty paragraph without pieces."""
+    """array<long> of EXACT + WORDS + 1 words; null and empty texts have one empty paragraph without pieces.
+
+    The number of the word is hashed before the line, so that every word hashes the line under a seed of its own: lines that
+    collide in one word need not collide in the others.
+    """
     text = F.coalesce(text, F.lit(""))
-    lines = _summed(F.split(text, "\n", -1), _zeros(EXACT), lambda a, j, line: a + F.xxhash64(line, j).bitwiseAND(F.lit(MASK)))
+    lines = _summed(F.split(text, "\n", -1), _zeros(EXACT), lambda a, j, line: a + F.xxhash64(j, line).bitwiseAND(F.lit(MASK)))
     pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(1))
     return F.concat(lines, _counted(F.transform(pieces, lambda p: F.xxhash64(p))))
 
@@ -146,31 +152,37 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Every document, its edited form and the following document, compared by fingerprint.
+    """Every row, its edited text and the following document, compared by fingerprint.
 
     `docs(doc_id, text, ...)`; other columns are not read. The edited text replaces the last quarter of the code points by
-    the first as many of the next document. A null id is a document of its own before all others; of rows that share an id
-    the one whose text has the smallest hash is the document, and one row is returned. A single document follows itself.
+    the first as many of the next document, which is the one with the next larger doc_id (after the last: the first); a null
+    id comes before all others. Rows that share an id all have the same next document, and the one whose text has the
+    smallest hash lends its text to those before them. A single id follows itself.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    rows = docs.select(key.alias("key"), "doc_id", whole("text").alias("text")).withColumn("fp", fingerprint(F.col("text")))
-    links = next_ids(docs.select(key.alias("key")).distinct())
-    # One exchange of the texts serves both the document and, as the next one, its predecessor.
-    rows = rows.repartition("key").withColumn("n", F.row_number().over(
-        Window.partitionBy("key").orderBy(F.xxhash64("text")))).filter("n = 1").drop("n")
-    giver = rows.select(F.col("key").alias("next_key"), F.col("doc_id").alias("next_doc_id"), F.col("text").alias("next_text"),
-                        F.col("fp").alias("next_fp"))
-    wanted = links.join(docs.select(key.alias("key"), F.length(whole("text")).alias("n_chars")).groupBy("key").agg(
-        F.max("n_chars").alias("most")), "key")
-    lent = giver.join(wanted, "next_key").select(
+    salt = lambda hashed: F.pmod(hashed, F.lit(SALTS)).alias("salt")
+    hashed = F.xxhash64(whole("text"))
+    ids = docs.select(key.alias("key"), hashed.alias("print"), F.length(whole("text")).alias("n")).groupBy("key").agg(
+        F.min("print").alias("print"), F.max("n").alias("most"))
+    links = next_ids(ids.select("key")).join(ids.select("key", "most"), "key").join(
+        ids.select(F.col("key").alias("next_key"), F.col("print").alias("next_print")), "next_key")
+    # One exchange of the texts serves the rows and, as the next ones, their predecessors; an id with many rows is dealt out.
+    rows = docs.select(key.alias("key"), salt(hashed), "doc_id", whole("text").alias("text")).withColumn(
+        "fp", fingerprint(F.col("text"))).repartition("key", "salt")
+    giver = rows.select(F.col("key").alias("next_key"), "salt", F.col("doc_id").alias("next_doc_id"),
+                        F.col("text").alias("next_text"), F.col("fp").alias("next_fp"))
+    wanted = links.withColumn("salt", salt(F.col("next_print")))
+    lent = giver.join(wanted, ["next_key", "salt"]).filter(F.xxhash64("next_text") == F.col("next_print")).select(
         "key", "next_doc_id", "next_fp", F.expr("substring(next_text, 1, cast(most div 4 as int))").alias("lent"))
-    work = rows.join(lent, "key").withColumn("n_chars", F.length("text").cast("long"))
-    edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), substring(lent, 1, cast(n_chars div 4 as int)))")
+    lent = lent.groupBy("key").agg(F.min(F.struct("next_doc_id", "next_fp", "lent")).alias("next"))
+    asked = docs.select(key.alias("key"), salt(hashed)).distinct()
+    work = rows.join(asked.join(lent, "key"), ["key", "salt"]).withColumn("n_chars", F.length("text").cast("long"))
+    edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), substring(next.lent, 1, cast(n_chars div 4 as int)))")
     work = work.withColumn("edited", edited).withColumn("edited_fp", fingerprint(F.col("edited")))
     return work.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
                        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-                       likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "next_doc_id")
+                       likeness(F.col("fp"), F.col("next.next_fp")).alias("near_next"), F.col("next.next_doc_id").alias("next_doc_id"))
 
 
 def op2_fingerprints(spark, sf_dir):

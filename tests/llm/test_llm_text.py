@@ -117,6 +117,14 @@ def test_fingerprint_is_a_multiset_hash(spark):
     assert added == a and removed == c
 
 
+def test_every_word_of_a_line_has_its_own_seed(spark):
+    words = [sum(1 << (4 * j) for j in range(8))]  # any line
+    row = spark.createDataFrame([(str(words[0]),)], "t string")
+    got = row.select(fingerprint.fingerprint(F.col("t"))).first()[0][:fingerprint.EXACT]
+    want = row.select(*[F.xxhash64(F.lit(j), "t") for j in range(fingerprint.EXACT)]).first()
+    assert got == [w & fingerprint.MASK for w in want] and len(set(got)) == fingerprint.EXACT
+
+
 def brute_pieces(text):
     lines = [re.findall(r"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+|$)", x) for x in (text or "").split("\n")]
     return Counter("".join(w[i:i + 3]).rstrip(" \t\x0b\x0c\r") for w in lines for i in range(len(w)))
@@ -171,7 +179,14 @@ def test_edited_texts_odd_ids(spark):
     same = fingerprint.edited_fingerprints(documents(spark, [(1, "only one document")])).collect()
     assert [(r.doc_id, r.near_next) for r in same] == [(1, 1.0)]
     odd = fingerprint.edited_fingerprints(documents(spark, [(1, "a b"), (1, "a b"), (None, "c d"), (2, "e")])).collect()
-    assert sorted((str(r.doc_id), r.next_doc_id) for r in odd) == [("1", 2), ("2", None), ("None", 1)]
+    assert sorted((str(r.doc_id), r.next_doc_id) for r in odd) == [("1", 2), ("1", 2), ("2", None), ("None", 1)]
+    rows = [(1, "one text here"), (1, "other text there"), (None, "first without id"), (None, "second without id"), (3, "x" * 40)]
+    odd = fingerprint.edited_fingerprints(documents(spark, rows)).collect()
+    edits = {None: {"one text here", "other text there"}, 1: {"x" * 40}, 3: {"first without id", "second without id"}}
+    assert sorted((r.doc_id or 0, r.n_chars) for r in odd) == sorted((d or 0, len(t)) for d, t in rows)
+    for d, t in rows:
+        possible = {sha(t[:len(t) - len(t) // 4] + e[:len(t) // 4]) for e in edits[d]}
+        assert len({r.edited_sha256 for r in odd if r.doc_id == d and r.n_chars == len(t)} & possible) == 1
     assert fingerprint.edited_fingerprints(documents(spark, [])).collect() == []
 
 
