@@ -73,16 +73,22 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 def with_other_reply(conversations: DataFrame) -> DataFrame:
     """Rejected sides for a table of conversations: the last turn's text is that of the following conversation's last turn.
 
+    The last turn is the last one in the order of format_preferences(); all others stay, null and repeated turns included.
     The following conversation is the one with the next number, found by an equi join; where there is none, the reply is
     empty. Null conversation numbers give nothing.
     """
-    turns = conversations.filter("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text")
-    last = turns.groupBy("conv_id").agg(F.max(F.struct("turn", "role", "text")).alias("z"))
+    turns = conversations.filter("conv_id IS NOT NULL").select("conv_id", F.struct(
+        "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    last = turns.groupBy("conv_id").agg(F.max("t").alias("z"))
     other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("z.text").alias("other"))
     swapped = last.join(other, "conv_id", "left").select(
         F.col("conv_id").alias("pair_id"), "z.turn", "z.role", F.coalesce("other", F.lit("")).alias("text"))
-    before = turns.join(last.select("conv_id", F.col("z.turn").alias("_last")), "conv_id").filter("turn < _last")
-    return before.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").unionByName(swapped)
+    both = turns.join(last, "conv_id").withColumn("is_last", F.col("t").eqNullSafe(F.col("z")))
+    before = both.filter("NOT is_last").select(F.col("conv_id").alias("pair_id"), "t.*")
+    # Of rows equal to the last one, one is swapped.
+    more = both.filter("is_last").groupBy("conv_id").agg(F.count("*").alias("n"), F.max("z").alias("z")).filter("n > 1").select(
+        F.col("conv_id").alias("pair_id"), "z.*", F.explode(F.sequence(F.lit(2).cast("long"), "n"))).drop("col")
+    return before.unionByName(more).unionByName(swapped)
 
 
 def op9_format_preferences(spark, sf_dir):
@@ -94,15 +100,17 @@ def op9_format_preferences(spark, sf_dir):
 
 
 SQL = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-last AS (SELECT conv_id, max(turn) AS turn FROM t GROUP BY conv_id),
-z AS (SELECT t.* FROM t JOIN last USING (conv_id, turn)),
-r AS (SELECT t.conv_id, t.turn, t.role, t.text FROM t JOIN last l ON t.conv_id = l.conv_id AND t.turn < l.turn
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+             count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE conv_id IS NOT NULL),
+z AS (SELECT * FROM t WHERE k = n),
+q AS (SELECT conv_id, turn, role, text FROM t WHERE k < n
       UNION ALL SELECT z.conv_id, z.turn, z.role, coalesce(o.text, '') FROM z LEFT JOIN z o ON o.conv_id = z.conv_id + 1),
-s AS (SELECT t.conv_id, count(*) FILTER (WHERE t.role = r.role AND t.text = r.text) AS n_shared, count(*) AS n
-      FROM t JOIN r ON t.conv_id = r.conv_id AND t.turn = r.turn GROUP BY t.conv_id),
+r AS (SELECT q.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM q),
+s AS (SELECT t.conv_id, coalesce(min(t.k) FILTER (WHERE t.role <> r.role OR t.text <> r.text) - 1, count(*)) AS n_shared
+      FROM t JOIN r ON t.conv_id = r.conv_id AND t.k = r.k GROUP BY t.conv_id),
 p AS (SELECT conv_id, turn, 'a' AS side, role, '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' || chr(10) AS body,
-             row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM t
+             k FROM t
       UNION ALL SELECT conv_id, turn, 'b', role, '<|im_start|>' || role || chr(10), text || '<|im_end|>' || chr(10),
              row_number() OVER (PARTITION BY conv_id ORDER BY turn) FROM r),
 c AS (SELECT p.*, s.n_shared, sum(length(head || body)) OVER (PARTITION BY p.conv_id, side ORDER BY k) AS upto
