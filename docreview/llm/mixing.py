@@ -17,6 +17,8 @@ from docreview.llm.common import WORD, cut, table, whole
 
 DIGIT_BITS = 12
 HASH_BITS = 60
+SMALL = 16384
+"""Rows of sources or sets of sources that are broadcast; beyond, they are joined by a shuffle."""
 
 
 def fill_targets(sizes: dict, weights: dict, cap: float, words: int | None = None) -> dict:
@@ -87,36 +89,68 @@ def route(capacity: list[int], members: list[list[int]], quotas: list[int], copi
     return [sum(graph[e[0]][e[3]][1] for e in graph[start] if e[0] == p) for p in range(patterns)]
 
 
+def overlapping(sets: list[list]) -> list[list[int]]:
+    """The places of `sets` grouped by the sources they share, directly or over others."""
+    parent: dict = {}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for group in sets:
+        for s in group:
+            parent.setdefault(s, s)
+            parent[find(s)] = find(group[0])
+    out: dict = {}
+    for i, group in enumerate(sets):
+        out.setdefault(find(group[0]) if group else (i,), []).append(i)
+    return list(out.values())
+
+
 def mix(docs: DataFrame, weights=(1, 2, 3), copies: int = 3, seed: int = 17, max_patterns: int = 4096) -> DataFrame:
     """`docs(row, sources array<string>, size long, ...)` with `copies`, `taken` (their words) and `target` added.
 
     `target` is the sum of the targets of the row's sources. `row` must be set; equal rows are interchangeable. A null
     inside `sources` is a source of its own, ordered last; a null array counts as [null]. Sources are ordered by code
-    point and weigh `weights` in turn. A row of size 0 gives nothing. More than `max_patterns` sets of sources are an
-    error, since their totals, and nothing else, go through the driver.
+    point and weigh `weights` in turn. A row of size 0 gives nothing. Columns of `docs` named like the new ones give way.
+
+    One total per set of sources, and nothing else, goes through the driver. The flow runs apart for sets that share no
+    source, so that any number of sources is mixed; more than `max_patterns` sets that hang together are an error.
     """
     spark = docs.sparkSession
+    docs = docs.drop("copies", "taken", "target")
     key = F.to_json(F.struct(F.coalesce(F.array_sort(F.array_distinct("sources")), F.array(F.lit(None).cast("string"))).alias("s")),
                     {"ignoreNullFields": "false"})
     work = docs.withColumn("_pattern", key).withColumn(
         "_order", F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), "row"), F.lit(64 - HASH_BITS)))
-    totals = work.groupBy("_pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
-    if len(totals) > max_patterns:
-        raise ValueError(f"more than {max_patterns} sets of sources; raise max_patterns")
+    totals = work.groupBy("_pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     totals = sorted(totals, key=lambda r: r["_pattern"])
     sets = [json.loads(r["_pattern"]).get("s", [None]) for r in totals]
-    names = sorted({s for group in sets for s in group}, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(r["words"] for r, group in zip(totals, sets) if s in group) for s in names}
+    sizes: dict = {}
+    for r, group in zip(totals, sets):
+        for s in group:
+            sizes[s] = sizes.get(s, 0) + r["words"]
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    sizes = {s: sizes[s] for s in names}
     targets = fill_targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, copies,
                            sum(r["words"] for r in totals))
-    flow = route([r["words"] for r in totals], [[names.index(s) for s in group] for group in sets],
-                 [round(targets[s]) for s in names], copies)
+    flow = [0] * len(totals)
+    for part in overlapping(sets):
+        if len(part) > max_patterns:
+            raise ValueError(f"more than {max_patterns} sets of sources hang together; raise max_patterns")
+        own = {s: i for i, s in enumerate(sorted({s for p in part for s in sets[p]}, key=lambda s: (s is None, s or "")))}
+        words = route([totals[p]["words"] for p in part], [[own[s] for s in sets[p]] for p in part],
+                      [round(targets[s]) for s in own], copies)
+        for p, n in zip(part, words):
+            flow[p] = n
     plan = []
     for r, group, words in zip(totals, sets, flow):
         full, rest = divmod(words, r["words"]) if r["words"] else (0, 0)
         plan.append((r["_pattern"], full, rest, sum(targets[s] for s in group)))
+    few = F.broadcast if len(plan) <= SMALL else lambda df: df
     plan_df = spark.createDataFrame(plan, "_pattern string, _full long, _rest long, target double")
-    work = work.join(F.broadcast(plan_df), "_pattern")
+    work = work.join(few(plan_df), "_pattern")
 
     # The words still to take are located digit by digit in the hash order: a histogram per level, never a sort of all rows.
     rows, depth = max((r["n"] for r in totals), default=0), 0
@@ -124,7 +158,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), copies: int = 3, seed: int = 17, max
     while rows > 1024 and (depth + 1) * DIGIT_BITS <= HASH_BITS:
         depth, rows = depth + 1, rows >> DIGIT_BITS
         prefix = _prefix(depth)
-        bins = (work.join(F.broadcast(cuts), "_pattern").filter(_prefix(depth - 1) == F.col("_path"))
+        bins = (work.join(few(cuts), "_pattern").filter(_prefix(depth - 1) == F.col("_path"))
                 .groupBy("_pattern", prefix.alias("_bin"), "_left").agg(F.sum("size").alias("_words")))
         before = F.coalesce(F.sum("_words").over(Window.partitionBy("_pattern").orderBy("_bin").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))
@@ -132,7 +166,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), copies: int = 3, seed: int = 17, max
         found = reached.groupBy("_pattern").agg(F.max_by(F.struct(F.col("_bin").alias("_path"), (F.col("_left") - F.col("_before")).alias("_left")),
                                                          "_bin").alias("c")).select("_pattern", "c._path", "c._left").collect()
         cuts = spark.createDataFrame(found, "_pattern string, _path long, _left long")
-    work = work.join(F.broadcast(cuts), "_pattern")
+    work = work.join(few(cuts), "_pattern")
     at_cut = work.filter(_prefix(depth) == F.col("_path"))
     upto = F.sum("size").over(Window.partitionBy("_pattern").orderBy("_order", "row", "size").rowsBetween(Window.unboundedPreceding, 0))
     at_cut = at_cut.withColumn("_extra", (2 * upto - F.col("size") < 2 * F.col("_left")).cast("long"))
@@ -157,6 +191,7 @@ def op4_mix_sources(spark, sf_dir):
     own = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     mixed = mix(docs.select("doc_id", "source", "size", F.coalesce("doc_id", F.lit(-1)).alias("row"),
                             F.array("source").alias("sources")))
-    sources = F.broadcast(own.withColumnRenamed("source", "_source"))  # at most max_patterns rows, checked in mix()
+    sources = own.withColumnRenamed("source", "_source")
+    sources = F.broadcast(sources) if sources.limit(SMALL + 1).count() <= SMALL else sources
     return mixed.join(sources, F.col("source").eqNullSafe(F.col("_source"))).select(
         "doc_id", "size", "source_size", "target", "taken")

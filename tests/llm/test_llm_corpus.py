@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from helpers import WORD, brute_components, brute_lines, sha
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docreview.llm import mixing, warc
@@ -25,7 +26,7 @@ def test_route_overlapping():
 
 
 def mixed(spark, rows):
-    docs = spark.createDataFrame(rows, "row long, sources array<string>, size long, target string, copies string").drop("target", "copies")
+    docs = spark.createDataFrame(rows, "row long, sources array<string>, size long, target string, copies string")
     return mixing.mix(docs)
 
 
@@ -44,8 +45,28 @@ def test_mix_cases(spark):
     assert mixed(spark, []).collect() == []
     got = mixed(spark, [(1, ["a"], 0, "", ""), (1, ["a"], 0, "", ""), (2, None, 5, "", "")]).collect()
     assert len(got) == 3 and sum(r.taken for r in got) == 5
+    apart = spark.createDataFrame([(i, [str(i)], 1) for i in range(5)], "row long, sources array<string>, size long")
+    assert mixing.mix(apart, max_patterns=1).count() == 5
     with pytest.raises(ValueError):
-        mixing.mix(spark.createDataFrame([(i, [str(i)], 1) for i in range(5)], "row long, sources array<string>, size long"), max_patterns=4)
+        mixing.mix(apart.withColumn("sources", F.array(F.lit("hub"), F.col("row").cast("string"))), max_patterns=4)
+
+
+def test_mix_many_sources(spark, monkeypatch):
+    """Ten thousand sources, some in pairs, joined without a broadcast."""
+    monkeypatch.setattr(mixing, "SMALL", 100)
+    rows = [(i, [f"s{i % 10_000:05}"] if i % 10 else [f"s{i % 10_000:05}", f"s{i % 10_000 + 1:05}"], 20, "", "") for i in range(20_000)]
+    got = mixed(spark, rows).collect()
+    assert len(got) == 20_000 and all(r.taken == r.size * r.copies and r.copies <= 3 for r in got)
+    taken = {}
+    for r in got:
+        if r.sources[0][-1] not in "01":  # sources that share no set with others
+            taken.setdefault(r.sources[0], [0, r.target])[0] += r.taken
+    assert len(taken) == 8000 and all(abs(n - target) <= 20 for n, target in taken.values())
+
+
+def test_overlapping():
+    parts = mixing.overlapping([["a"], ["b", "c"], ["c", "d"], [None], ["d"], ["e", None]])
+    assert sorted(map(sorted, parts)) == [[0], [1, 2, 4], [3, 5]] and mixing.overlapping([]) == []
 
 
 def test_mix_query(spark):
@@ -131,7 +152,7 @@ def test_pipeline_odd_rows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert all(r.round_trip for r in got)
+    assert all(r.round_trip for r in got) and sum(r.doc_id is None and r.n_tokens > 0 for r in got) <= 3
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/e/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/e/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/e").collect() == []
