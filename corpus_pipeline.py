@@ -1,7 +1,8 @@
 """From raw documents to a mixed, tokenised corpus: five stages over whole tables, each written and read again.
 
-Null texts are empty throughout. Rows without a doc_id pass the near-duplicate stage. The mixing stage repeats a document
-as often as the mix takes it, so that from there on a doc_id may occur up to three times.
+Null texts are empty throughout. Rows that share a doc_id, or have none, are rows of their own in the near-duplicate
+stage, where one row of each group stays. The mixing stage repeats a document as often as the mix takes it, so that from
+there on a doc_id may occur up to three times.
 """
 
 from __future__ import annotations
@@ -32,10 +33,8 @@ def line_filter(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_filter(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near duplicates: five-word shingles, similarity of 0.8 or more."""
-    found = minhash.near_components(docs.select(F.col("doc_id").alias("doc"), "text"))
-    dropped = found.filter("doc <> root").select(F.col("doc").alias("doc_id")).distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The first row of every group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return minhash.one_of_each(docs)
 
 
 def mix_filter(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
