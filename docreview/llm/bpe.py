@@ -23,11 +23,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreview.llm.common import slices, table, whole
+from docreview.llm.common import slices, small_batches, table, whole
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_TRANSITIONS = 1_000_000
-"""Transitions kept; the table is dropped and filled again beyond, which changes no result. About 250 MB."""
+MAX_TRANSITIONS = 150_000
+"""Transitions kept; the table is dropped and filled again beyond, which changes no result. About 100 MB."""
 MAX_PIECES = 200_000
 """Tokens of short pieces kept per task process, and as many older ones. About 80 MB."""
 LONG_PIECE, LONG_TEXT, STEP = 64, 1 << 20, 1 << 16
@@ -277,6 +277,7 @@ def vocabulary(spark: SparkSession, path: str | None = None):
 
 
 def _rows(docs: DataFrame, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(None).cast("int").alias("_none")]
     return docs.select(F.struct(*others).alias("row"), whole(text_col).alias("text"))
 

@@ -43,6 +43,20 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends rows to Python workers at most BATCH_ROWS at a time; a smaller number that the session has is left.
+
+    A setting of the session, since Spark has none for one operator: with its default of 10,000 rows a batch of texts or
+    shingle sets takes tens of megabytes, several times over, in the executor and in each of its workers.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def whole(text: Column | str) -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docreview.llm.common import cut, lookup, marked, slices, spotted, table, whole
+from docreview.llm.common import cut, lookup, marked, slices, small_batches, spotted, table, whole
 
 BANDS, ROWS = 20, 4
 NO_ID = (1 << 63) - 1
@@ -249,6 +249,7 @@ def near_rows(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = B
     with nothing; null texts are empty. Every pair that agrees on a band is confirmed or refuted, apart from pairs already
     known to be connected; see pairs_beyond().
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.coalesce("doc", F.lit(NO_ID)).cast("long").alias("doc"), whole("text").alias("text")).withColumn(
         "print", F.xxhash64("text"))
     sigs = cut(signatures(docs, words, bands, rows).withColumn("node", F.monotonically_increasing_id()))
