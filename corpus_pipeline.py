@@ -46,11 +46,12 @@ def mix_filter(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and whether decoding them gives the text again."""
-    work = docs.select("doc_id", "lang", "source", whole("text").alias("original"), whole("text").alias("text"))
+    """Token ids of every text, and whether decoding them gives the text again, by its SHA-256."""
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    work = docs.select("doc_id", "lang", "source", whole("text").alias("text")).withColumn("digest", digest)
     done = bpe.round_trip(work)
     return done.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                       (F.col("text") == F.col("row.original")).alias("round_trip"))
+                       (digest == F.col("row.digest")).alias("round_trip"))
 
 
 STAGES = [("quality", quality_filter), ("lines", line_filter), ("near_duplicates", near_filter), ("mixing", mix_filter),
