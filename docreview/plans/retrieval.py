@@ -9,6 +9,7 @@ from docreview.operators import retrieval as R
 from docreview.operators import text as X
 from docreview.packs import latin
 from docreview.plans.registry import plan
+from docreview.session import cut_lineage
 
 TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
@@ -255,7 +256,7 @@ def _hybrid_corpus(t) -> DataFrame:
 def _channels(t) -> DataFrame:
     asks = _hybrid_asks(t)
     vector = R.tag_channel(R.vector_topk(asks, _vectors(t), POOL), "vector", 0)
-    return vector.unionByName(R.tag_channel(R.bm25_topk(asks, R.bm25_index(_docs(t)), POOL), "bm25", 1))
+    return cut_lineage(vector.unionByName(R.tag_channel(R.bm25_topk(asks, R.bm25_index(_docs(t)), POOL), "bm25", 1)))
 
 
 @plan("r06_rrf_fuse", f"""WITH {CHANNELS}, {FUSED}
@@ -277,7 +278,7 @@ SELECT query_id, doc_id, pos, round(coverage, 4) AS coverage, round(title_hits,
 def _(t):
     channels = _channels(t)
     fused = R.fused_similarity(channels, R.rrf_fuse(channels, POOL))
-    pool = fused.join(_asks(t).withColumnRenamed("text", "query_text"), "query_id").join(_hybrid_corpus(t), "doc_id")
+    pool = R.fetch_texts(fused.join(_asks(t).withColumnRenamed("text", "query_text"), "query_id"), _hybrid_corpus(t))
     return R.rerank(pool, N).select("query_id", "doc_id", "pos", F.round("coverage", 4).alias("coverage"),
                                     F.round("title_hits", 4).alias("title_hits"), "rerank_score", "final_score",
                                     "final_rank")

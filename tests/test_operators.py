@@ -259,3 +259,57 @@ def test_clauses_search_with_both_channels(spark):
     assert {(7, 1, 1, 1), (7, 1, 2, 1), (7, 2, 3, 2), (8, 1, 1, 2)} <= got
     plain = {(r.doc_id, r.ref_id) for r in R.retrieve_for_clauses(clauses.drop("embedding"), corpus, index, min_hits=1).collect()}
     assert plain == {(8, 1)}  # the word of the first clause is in most passages and weighs nothing
+
+
+def test_index_rows_keep_their_own_terms(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(120)))) for i in range(2500)] + [(2500, None)]
+    index = R.bm25_index(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))
+    want = {(i, len((text or "").split()), w, (text or "").split().count(w)) for i, text in texts for w in set((text or "").split())}
+    assert {tuple(r) for r in index.postings.collect()} == want
+    assert index.documents.count() == len(texts)  # rows without a word are counted
+
+
+def test_search_shuffles_no_pairs_and_both_directions_agree(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{int(rng.random() ** 2 * 40)}" for _ in range(rng.randrange(1, 30)))
+    docs = spark.createDataFrame([(i, text(), f"c{i % 3}") for i in range(200)], "doc_id long, text string, category string")
+    asks = spark.createDataFrame([(f"q{i}", text()) for i in range(60)], "query_id string, text string")
+    index = R.bm25_index(docs.select("doc_id", "text"))
+    want = rows(R._hit_rank(R.bm25_scores(asks, index), 7))  # by a join of all pairs
+    assert len(want) == 420
+
+    def unpaired(*_):
+        raise AssertionError("pairs were joined")
+
+    plain = R.bm25_scores
+    monkeypatch.setattr(R, "bm25_scores", unpaired)
+    assert rows(R.bm25_topk(asks, index, 7)) == want
+    monkeypatch.setattr(R, "GROUP_FLOATS", 300)  # many groups
+    monkeypatch.setattr(R, "TILE_VECTORS", 1)
+    assert rows(R.bm25_topk(asks, index, 7)) == want
+    found = R._search_queries(asks, index, index.documents, 7).select("query_id", F.posexplode("hits").alias("i", "h"))
+    assert rows(found.select("query_id", "h.doc_id", F.round("h.score", 4), F.col("i") + 1)) == want
+    inside = R.bm25_topk(asks, index, 7, category="c1", categories=docs)
+    monkeypatch.setattr(R, "bm25_scores", plain)
+    kept = plain(asks, index).join(docs.filter("category = 'c1'").select("doc_id"), "doc_id", "left_semi")
+    assert rows(inside) == rows(R._hit_rank(kept, 7).select("query_id", "doc_id", "score", "rank"))
+    monkeypatch.setattr(R, "HELD_ROWS", 10)  # both sides large: joined by term
+    assert rows(R.bm25_topk(asks, index, 7)) == want
+
+
+def test_clause_search_shuffles_no_text_and_no_pairs(spark, sf, monkeypatch):
+    from docreview.plans import retrieval as PR
+    from docreview.sources.tables import Tables
+
+    t = Tables(spark, sf)
+    statutes = PR._statutes(t)
+    index = R.bm25_index(statutes.select("doc_id", "text"))
+    clauses = PR._clauses(t)
+    found = R.retrieve_for_clauses(clauses, statutes, index)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert below and "SortMergeJoin" not in plan
+    got = rows(found)
+    monkeypatch.setattr(R, "HELD_ROWS", 0)  # the pairs are joined by term
+    assert rows(R.retrieve_for_clauses(clauses, statutes, index)) == got
