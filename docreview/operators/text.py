@@ -175,7 +175,8 @@ def categorize_clauses(df: DataFrame, keywords, title: str = "title", content: s
     body = F.concat_ws(" ", title, content)
     found = F.filter(F.array(*[F.when(any_of(body, words), F.lit(name)) for name, words in keywords]),
                      lambda c: c.isNotNull())
-    return df.withColumn("categories", found).withColumn("primary_category", F.get("categories", F.lit(0)))
+    # Generated, not projected: the optimiser would repeat the search in every filter and branch that reads a category.
+    return df.select("*", F.explode(F.array(found)).alias("categories")).withColumn("primary_category", F.get("categories", F.lit(0)))
 
 
 def category_of(df: DataFrame, rules, default: str = "general", text: str = "text") -> DataFrame:

@@ -313,3 +313,11 @@ def test_clause_search_shuffles_no_text_and_no_pairs(spark, sf, monkeypatch):
     got = rows(found)
     monkeypatch.setattr(R, "HELD_ROWS", 0)  # the pairs are joined by term
     assert rows(R.retrieve_for_clauses(clauses, statutes, index)) == got
+
+
+def test_categories_are_searched_once(spark, sf):
+    from docreview.plans.registry import PLANS
+
+    # k03 cuts its clauses on both sides of a join; filters and branches over the category repeated the search before.
+    plan = PLANS["k03_trace_citations"].run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("eauelle") <= 2
