@@ -40,8 +40,8 @@ def _(t):
     near = R.vector_topk(asks, PR._vectors(t), DEPTH + 1).filter(F.col("query_id") != F.col("doc_id"))
     near = top_rows(near.drop("rank"), ("query_id",), [F.col("score").desc(), F.col("doc_id")], DEPTH, "rank")
     words = R.bm25_topk(PR._asks(t), R.bm25_index(PR._docs(t)), DEPTH)
-    hits = near.select(F.lit("vector").alias("channel"), "query_id", "doc_id", "rank").unionByName(
-        words.select(F.lit("bm25").alias("channel"), "query_id", "doc_id", "rank")).join(labels, "doc_id", "left")  # a document without a vector has no category
+    hits = cut_lineage(near.select(F.lit("vector").alias("channel"), "query_id", "doc_id", "rank").unionByName(
+        words.select(F.lit("bm25").alias("channel"), "query_id", "doc_id", "rank")).join(labels, "doc_id", "left"))  # a document without a vector has no category
     gold = t.benchmark.select(F.col("item_id").alias("query_id")).join(labels.withColumnRenamed("doc_id", "query_id"), "query_id")
     channels = t.spark.createDataFrame([("vector",), ("bm25",)], "channel string")
     return E.retrieval_metrics(hits, gold, channels)
