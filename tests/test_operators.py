@@ -142,6 +142,17 @@ def test_columns(spark):
     assert got == [(0.0, 225.0), (225.0, 500.0), (500.0, 620.0)]
 
 
+def test_columns_are_found_in_tasks_of_bounded_size(spark, monkeypatch):
+    boxes = [(d, 10.0 * i, 10.0 * i + 30 * (d % 3), 620.0) for d in range(40) for i in range(10)]
+    df = spark.createDataFrame(boxes, "doc_id long, x0 double, x1 double, page_width double").withColumn("page", F.lit(0))
+    want = rows(L.detect_columns(df))
+    monkeypatch.setattr(L, "ROWS_PER_TASK", 25)
+    found = L.detect_columns(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "16), REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1  # 400 boxes, dealt out once
+    assert rows(found) == want and len(want) == 40
+
+
 def test_decoding_files(spark, tmp_path):
     (tmp_path / "zone" / "cat").mkdir(parents=True)
     for name, data in (("a", "﻿plain".encode()), ("b", "劳动合同".encode("gb18030")), ("c", b"ok \xff\xff\xff")):
