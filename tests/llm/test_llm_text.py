@@ -338,3 +338,10 @@ def test_quality_sample_is_thinned_once(spark, monkeypatch):
         rows = usable.limit(n)
         chosen = quality.labelled_rows(docs.select("doc_id", "text"), rows.select("doc_id", "quality"))
         assert chosen.count() == quality.fit(chosen) == quality.fit(rows) == min(n, 100)
+
+
+def test_texts_of_fingerprints_are_shuffled_once(spark):
+    """The exchange by id and part serves the rows and their predecessors; no other one hashes a text."""
+    docs = documents(spark, [(i, f"line {i} of a text\nand one more") for i in range(40)])
+    plan = fingerprint.edited_fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" in plan and "Exchange hashpartitioning(xxhash64(" not in plan
