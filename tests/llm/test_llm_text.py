@@ -343,5 +343,10 @@ def test_quality_sample_is_thinned_once(spark, monkeypatch):
 def test_texts_of_fingerprints_are_shuffled_once(spark):
     """The exchange by id and part serves the rows and their predecessors; no other one hashes a text."""
     docs = documents(spark, [(i, f"line {i} of a text\nand one more") for i in range(40)])
-    plan = fingerprint.edited_fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        plan = fingerprint.edited_fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert "Exchange hashpartitioning" in plan and "Exchange hashpartitioning(xxhash64(" not in plan
