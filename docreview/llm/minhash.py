@@ -175,7 +175,7 @@ def pairs_beyond(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     common = items.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     shared = lookup(items, common, "key", "v").filter("df IS NOT NULL").groupBy("u", "v").agg(
         F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
-    indexed = members.drop("diff").join(shared, ["u", "v"]).withColumn("own", F.col("size") - F.size("shared"))
+    indexed = cut(members.drop("diff").join(shared, ["u", "v"]).withColumn("own", F.col("size") - F.size("shared")))
 
     def entries(rows: DataFrame, prefix: str) -> DataFrame:
         kept = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.least(F.size("shared"), F.col(prefix) - F.col("own"))).cast("int"))
@@ -208,8 +208,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges, before = cut(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()), None
     for _ in range(rounds):
         both = edges.select(F.col("u").alias("at"), F.col("v").alias("other")).union(edges.select("v", "u"))
-        large = smallest(both).filter("other > at").select(F.col("least").alias("u"), F.col("other").alias("v")).filter("u < v").distinct()
-        down = cut(large).select(F.col("v").alias("at"), F.col("u").alias("other"))
+        down = cut(smallest(both).filter("other > at").select(F.col("least").alias("u"), F.col("other").alias("v")).filter(
+            "u < v").distinct()).select(F.col("v").alias("at"), F.col("u").alias("other"))
         small = smallest(down)
         edges = cut(small.select("least", "other").union(small.select("least", "at")).toDF("u", "v").filter("u < v").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

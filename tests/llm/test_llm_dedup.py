@@ -1,12 +1,14 @@
 """Exact, line and near-duplicate operators on small tables with nulls, ties, repeated rows and clashing names."""
 
 import random
+import weakref
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from helpers import brute_components, brute_lines, documents, sha
 
-from docreview.llm import exact_dedup, line_dedup, minhash
+from docreview.llm import common, exact_dedup, line_dedup, minhash
 
 
 def test_exact(spark):
@@ -189,3 +191,22 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (100, 98)], "u long, v long")
     got = {r.v: r.root for r in minhash.components(links).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 99: 98, 100: 98}
+
+
+def test_cut_lets_go_of_the_plan():
+    """The plan that was run is gone when garbage is collected, else its shuffle files stay for another step."""
+    plans, alive = [], []
+    collect = SimpleNamespace(gc=lambda: alive.append(plans[0]() is not None))
+    context = SimpleNamespace(getCheckpointDir=lambda: "set", _jvm=SimpleNamespace(System=collect))
+    session = SimpleNamespace(conf={"spark.checkpoint.dir": "/shared"}, sparkContext=context)
+
+    class Plan:
+        def __init__(self):
+            self.sparkSession = session
+            plans.append(weakref.ref(self))
+
+        def checkpoint(self, eager):
+            return "rows"
+
+    out = common.cut(Plan())
+    assert out == "rows" and alive == [False]
