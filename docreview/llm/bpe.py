@@ -4,6 +4,7 @@ After every byte of a piece, the tokens of the prefix read so far are one chain,
 of a shorter prefix by one token that is compatible with that chain's last one. A state of the transducer holds, for each
 place where a token could still begin (the bytes since then start some token), the last token before it and the tokens that
 are not common to all such places. What is common is final and is emitted, so lookahead is bounded by the longest token.
+Short pieces do without these: the last token of each prefix is in its state, and the tokens are read off the path backwards.
 States and transitions are made when first met and shared by all texts of a task.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import gc
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -27,34 +29,66 @@ from docreview.llm.common import slices, small_batches, table, whole
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MAX_TRANSITIONS = 150_000
-"""Transitions kept; the table is dropped and filled again beyond, which changes no result. About 100 MB."""
-MAX_PIECES = 200_000
-"""Tokens of short pieces kept per task process, and as many older ones. About 80 MB."""
+"""Transitions of long pieces kept, and pairs of tokens; dropped and filled again beyond, which changes no result."""
+MAX_SHORT_TRANSITIONS = 400_000
+"""The same for short pieces, whose states are smaller."""
+MAX_PIECES = 60_000
+"""Tokens of short pieces kept per task process, and as many older ones. About 30 MB."""
 LONG_PIECE, LONG_TEXT, STEP = 64, 1 << 20, 1 << 16
+PLACES, TOKEN = -1, -2
+"""Keys of a state of short pieces beside the bytes."""
 
 
 class Transducer:
-    """`tokens(piece)` gives the ids of one piece as the merges by ascending rank would."""
+    """`tokens(piece)` gives the ids of one piece as the merges by ascending rank would.
+
+    The transducer comes in two forms. A piece of up to LONG_PIECE bytes keeps its path, so the tokens can be read off it
+    backwards, by the last token of each prefix; its states hold no pending tokens and are shared by far more pieces. A longer
+    piece runs through states that hold them, and emits its tokens while it is read.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        # Beginnings of tokens: twice the rank + 1 where it is a token itself, plus 1 where a longer token begins so.
-        self.starts = {token[:i]: 1 for token in ranks for i in range(1, len(token))}
-        for token, i in ranks.items():
-            self.starts[token] = 2 * (i + 1) + self.starts.get(token, 0)
         self.bytes_of = {i: token for token, i in ranks.items()}
+        # Beginnings of tokens as numbers: 0 for none read, `nexts` from number * 256 + byte to the next one.
+        self.nexts: dict[int, int] = {}
+        nexts, ends, grows = self.nexts, array("i", (-1,)), bytearray(1)
+        for token, i in ranks.items():
+            at = 0
+            for byte in token:
+                key = at << 8 | byte
+                after = nexts.get(key)
+                if after is None:
+                    grows[at] = 1
+                    after = nexts[key] = len(ends)
+                    ends.append(-1)
+                    grows.append(0)
+                at = after
+            ends[at] = i
+        self.ends, self.grows = ends, grows
+        """The token that a beginning is, or -1; whether a longer token begins so."""
         self.pairs: dict[int, bool] = {}
         self.splits: dict[int, tuple[int, int] | None] = {}
         self.reset()
+        self.reset_short()
 
     def reset(self) -> None:
         # a place: (bytes since it, its last token, tokens before it that are not emitted); the last place is "here"
-        start = ((b"", -1, ()),)
+        start = ((0, -1, ()),)
         self.ids, self.states = {start: 0}, [start]
         self.moves: dict[int, int] = {}
         """state * 256 + byte -> next state, or ~i for the next state and tokens of `emitting[i]`."""
         self.emitting: list[tuple[int, tuple[int, ...]]] = []
 
+    def reset_short(self) -> None:
+        for state in getattr(self, "short_states", {}).values():
+            state.clear()  # states refer to each other
+        # a place: bytes since it << 32 | its last token + 1; the last place is "here"
+        self.start = {PLACES: (0,)}
+        self.short_states = {(0,): self.start}
+        """places -> state: the next state by byte, its places and the last token of the prefix read."""
+        self.short_moves = 0
+
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes `token`; None for a single byte. (-1, -1) where no merges lead to it."""
         if token not in self.splits:
@@ -79,24 +113,24 @@ class Transducer:
         Time is run backwards: of the two tokens that touch, the one merged last is taken apart, until an earlier merge
         across the border shows up or only bytes are left.
         """
-        if self.halves(right) == (-1, -1):
-            return False
-        if left < 0:
-            return True
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > MAX_TRANSITIONS:
                 self.pairs.clear()
-            known, x, y, before = True, left, right, 1 << 60
-            while True:
-                across = self.ranks.get(self.bytes_of[x] + self.bytes_of[y], 1 << 61)
-                if across < before:
+            known, x, y, before = self.halves(right) != (-1, -1), left, right, 1 << 60
+            ranks, bytes_of, splits = self.ranks, self.bytes_of, self.splits
+            while known and left >= 0:
+                if ranks.get(bytes_of[x] + bytes_of[y], 1 << 61) < before:
                     known = False
                     break
-                a, b = self.halves(x), self.halves(y)
-                if a and (x > y or not b):
+                a = splits[x] if x in splits else self.halves(x)
+                if a and x > y:
                     before, x = x, a[1]  # at equal ranks the merge further left comes first
+                    continue
+                b = splits[y] if y in splits else self.halves(y)
+                if a and not b:
+                    before, x = x, a[1]
                 elif b:
                     before, y = y + 1, b[0]
                 else:
@@ -106,16 +140,15 @@ class Transducer:
 
     def move(self, state: int, byte: int) -> int:
         """Makes a transition, to the next state with the tokens that have become final; returns its entry in `moves`."""
-        places, here, step, starts = [], None, bytes((byte,)), self.starts
+        places, here = [], None
         for since, last, pending in self.states[state]:
-            grown = since + step
-            kind = starts.get(grown)
-            if kind is None:
+            grown = self.nexts.get(since << 8 | byte)
+            if grown is None:
                 continue
-            if kind > 1 and here is None and self.compatible(last, (kind >> 1) - 1):
-                token = (kind >> 1) - 1
-                here = (b"", token, (*pending, token))
-            if kind & 1:
+            token = self.ends[grown]
+            if token >= 0 and here is None and self.compatible(last, token):
+                here = (0, token, (*pending, token))
+            if self.grows[grown]:
                 places.append((grown, last, pending))
         places.append(here)
         first, shared = here[2], 0
@@ -138,9 +171,34 @@ class Transducer:
         self.moves[state << 8 | byte] = known
         return known
 
+    def short_move(self, state: dict, byte: int) -> dict:
+        """Makes a transition without pending tokens; returns the next state."""
+        places, here, nexts, ends, grows, pairs = [], -1, self.nexts, self.ends, self.grows, self.pairs
+        for place in state[PLACES]:
+            grown = nexts.get(place >> 32 << 8 | byte)
+            if grown is None:
+                continue
+            last = place & 0xFFFFFFFF
+            if here < 0 and (token := ends[grown]) >= 0:
+                fits = pairs.get(last - 1 << 32 | token)
+                if self.compatible(last - 1, token) if fits is None else fits:
+                    here = token
+            if grows[grown]:
+                places.append(grown << 32 | last)
+        places.append(here + 1)
+        target = tuple(places)
+        after = self.short_states.get(target)
+        if after is None:
+            after = self.short_states[target] = {PLACES: target, TOKEN: here}
+        state[byte] = after
+        self.short_moves += 1
+        return after
+
     def tokens(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
+        if len(piece) <= LONG_PIECE:
+            return self.short_tokens(piece)
         if len(self.moves) > MAX_TRANSITIONS:
             self.reset()
         state, out, get = 0, [], self.moves.get
@@ -163,6 +221,22 @@ class Transducer:
         out += self.states[state][-1][2]
         return out
 
+    def short_tokens(self, piece: bytes) -> list[int]:
+        if self.short_moves > MAX_SHORT_TRANSITIONS:
+            self.reset_short()
+        state, path = self.start, []
+        for byte in piece:
+            after = state.get(byte)
+            state = self.short_move(state, byte) if after is None else after
+            path.append(state)
+        out, at = [], len(path)
+        while at:
+            token = path[at - 1][TOKEN]
+            out.append(token)
+            at -= len(self.bytes_of[token])
+        out.reverse()
+        return out
+
 
 class Pieces(dict):
     """Tokens of short pieces by text, filled by the transducer; what has not been asked for lately is dropped."""
@@ -261,12 +335,17 @@ def _decoder(data: bytes) -> Decoder:
 
 @contextmanager
 def _tables():
-    """The tables of tokens and transitions end with the task: a worker process that goes on to other work keeps none."""
+    """The tables of tokens and transitions end with the task: a worker process that goes on to other work keeps none.
+
+    Meanwhile cycles are not looked for: there are none but in the tables, which would be gone through again and again.
+    """
+    gc.disable()
     try:
         yield
     finally:
         _encoder.cache_clear()
         _decoder.cache_clear()
+        gc.enable()
         gc.collect()
 
 

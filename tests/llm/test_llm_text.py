@@ -86,6 +86,21 @@ def test_lookahead_is_bounded():
     assert len(out) > 300 and all(len(p[2]) < 40 for p in machine.states[state])
 
 
+def test_short_pieces_hold_no_tokens(monkeypatch):
+    """States of invented words are plain numbers, fewer than with pending tokens, and give the same ids."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices(["er", "in", "th", "on", "ción", "ä", "the", "qu", "ver", "ß"], k=rng.randint(3, 6))) for _ in range(4000)]
+    short, long = bpe.Transducer(RANKS), bpe.Transducer(RANKS)
+    ids = [list(short.tokens(w.encode())) for w in words]
+    monkeypatch.setattr(bpe, "LONG_PIECE", 0)
+    assert ids == [list(long.tokens(w.encode())) for w in words] == [ORACLE.encode_ordinary(w) for w in words]
+    assert not short.moves and all(type(p) is int for places in short.short_states for p in places)
+    assert 100 < len(short.short_states) < len(long.states) and 100 < short.short_moves < len(long.moves)
+    monkeypatch.setattr(bpe, "LONG_PIECE", 64)
+    monkeypatch.setattr(bpe, "MAX_SHORT_TRANSITIONS", 20)
+    assert ids == [list(short.tokens(w.encode())) for w in words] and len(short.short_states) < 100
+
+
 def test_utf8_stream():
     data = "aé日😀z".encode() + b"\xff\xe6\x97" + "é".encode()
     for i, j in itertools.combinations(range(len(data) + 1), 2):
